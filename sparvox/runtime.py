@@ -33,13 +33,20 @@ def shared_root(spark: SparkSession) -> str:
     if not found:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isDefined():
-            return str(jsc.getCheckpointDir().get())
+            return _qualified(spark, str(jsc.getCheckpointDir().get()))
         found = "file://" + tempfile.mkdtemp(prefix="sparvox-")
         atexit.register(remove_uri, found)
         spark.sparkContext.setCheckpointDir(found)
     elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
-    return found
+    return _qualified(spark, found)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Hadoop resolves it, so that Python's file systems take it for the same place."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return "file:///" + uri[len("file:") :].lstrip("/") if uri.startswith("file:") else uri
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
