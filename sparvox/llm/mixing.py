@@ -114,5 +114,5 @@ def mix(df: DataFrame) -> DataFrame:
     done = schedule(stage(sized(df), "sizes"))
     copies = done.select("doc_id", "__h", "__t", "positions").where(F.size("positions") > 0).dropDuplicates(["__h", "__t"])
     hashed = df.withColumns({"__h": order_hash("doc_id", "text")[0], "__t": order_hash("doc_id", "text")[1]})
-    joined = hashed.join(copies.select("__h", "__t", "positions"), ["__h", "__t"]).withColumn("__position", F.explode("positions"))
+    joined = hashed.join(copies.select("__h", "__t", F.col("positions").alias("__positions")), ["__h", "__t"]).withColumn("__position", F.explode("__positions"))
     return joined.orderBy("__position", "doc_id").select(*names)

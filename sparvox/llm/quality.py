@@ -228,6 +228,6 @@ def report(df: DataFrame) -> DataFrame:
 
 def keep_good(df: DataFrame) -> DataFrame:
     """df without the documents that the rules reject; columns as they were."""
-    names = df.columns
     stats = stage(with_statistics(df.select("lang", "source", "text")).drop("text"), "statistics")
-    return judge(with_statistics(df), fit(stats)).where("kept").select(*names)
+    rows = df.select(F.struct(*df.columns).alias("__row"), "lang", "source", "text")  # whatever df's other columns are called
+    return judge(with_statistics(rows).drop("text"), fit(stats)).where("kept").select("__row.*")
