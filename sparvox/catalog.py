@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparvox.plans import evaluation
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(evaluation.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(evaluation.SQL)
