@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-#: White space as the tokenizers' \s has it, with the separators that Python's isspace() adds; erring on the side of white space only costs a cache entry.
-_EDGE = re.compile(r"^\s|\s$")
+#: White space beside a place where the text would be cut, or at its ends; no text.
+_ODD = re.compile(r"(?:^| )(?:\s|$)|\s(?: |$)")
+#: Characters of the texts whose chunks are encoded in one call.
+GROUP = 1 << 21
 
 
-class Chunked(dict):
+class Chunked:
     """Encodes a text as the concatenation of its chunks' encodings, each chunk encoded once while it stays cached.
 
     A chunk is what lies between single spaces, with the space before it. The pattern of byte-level BPE lets no match
@@ -18,35 +21,64 @@ class Chunked(dict):
     a chunk is empty or has white space at an edge, it is joined with what surrounds it, and encoded as one.
     """
 
-    def __init__(self, encode_chunk: Callable[[str], bytes], most: int = 400_000):
-        super().__init__()
-        self.encode_chunk, self.most = encode_chunk, most
+    def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], most: int = 1_000_000):
+        self.encode_chunks, self.most = encode_chunks, most
+        #: Of chunks without their space, and of texts' first chunks.
+        self.cache: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > 256:  # a rare, long chunk would only fill the cache
-            return self.encode_chunk(chunk)
-        if len(self) >= self.most:
-            self.clear()
-        out = self[chunk] = self.encode_chunk(chunk)
-        return out
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The encoding of each text. Chunks that aren't cached are encoded together, for some texts at once."""
+        group, size = [], 0
+        for text in texts:
+            group.append(chunks(text))
+            size += len(text)
+            if size >= GROUP:
+                yield from self._some(group)
+                group, size = [], 0
+        yield from self._some(group)
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, chunks(text)))
+    def _some(self, group: list[list[str]]) -> list[bytes]:
+        if len(self.cache) >= self.most:
+            self.cache.clear()
+        self.first.clear()
+        collects = gc.isenabled()
+        gc.disable()  # strings only, but the collector would walk their lists again and again
+        try:
+            firsts = list({p[0] for p in group})
+            self.first.update(zip(firsts, self.encode_chunks(firsts)))
+            get, new, gaps = self.cache.get, set(), []
+            runs = []
+            for parts in group:
+                run = list(map(get, parts))
+                run[0] = self.first[parts[0]]
+                if None in run:
+                    holes = [i for i, x in enumerate(run) if x is None]
+                    new.update([parts[i] for i in holes])
+                    gaps.append((parts, run, holes))
+                runs.append(run)
+            fresh = list(new)
+            self.cache.update(zip(fresh, self.encode_chunks([" " + p for p in fresh])))
+            for parts, run, holes in gaps:
+                for i in holes:
+                    run[i] = get(parts[i])
+            return list(map(b"".join, runs))
+        finally:
+            if collects:
+                gc.enable()
 
 
 def chunks(text: str) -> list[str]:
-    """The text's chunks; joined they are the text."""
+    """The text's chunks, all but the first without the space that they begin with; joined by spaces they are the text."""
     parts = text.split(" ")
-    if "" not in parts and not any(map(_EDGE.search, parts)):
-        return [parts[0], *(" " + p for p in parts[1:])]
-    out: list[str] = []
-    loose = True  # whether the chunk so far can't be closed
-    for i, part in enumerate(parts):
-        piece = " " + part if i else part
-        blank = not part or part[0].isspace()
-        if out and (loose or blank):
-            out[-1] += piece
+    if not _ODD.search(text):
+        return parts
+    out = [parts[0]]
+    loose = not parts[0] or parts[0][-1].isspace()  # whether the chunk so far can't be closed
+    for part in parts[1:]:
+        if loose or not part or part[0].isspace():
+            out[-1] += " " + part
         else:
-            out.append(piece)
+            out.append(part)
         loose = not part or part[-1].isspace()
     return out

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
 from functools import lru_cache
 
 import pyarrow as pa
@@ -88,29 +89,44 @@ class Codec:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
-        self.ranks = ranks
         self.rank_of_piece = [r for _, r in sorted((r, r) for r in ranks.values())]
         self.straight = self.rank_of_piece == list(range(len(ranks)))
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.find = regex.compile(pattern).findall
         self.table = dict(enumerate(byte_characters()))
-        self.texts = Chunked(self._encode_chunk)
-
-    def encode_pretoken(self, raw: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        whole = self.ranks.get(raw)
-        if whole is not None:
-            return [whole]
-        ids = self.model.encode(raw.decode("latin-1").translate(self.table))
-        return ids if self.straight else [self.rank_of_piece[i] for i in ids]
-
-    def _encode_chunk(self, text: str) -> bytes:
-        ids = [i for found in self.find(text) for i in self.encode_pretoken(found.encode("utf-8", "replace"))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        return self.texts.encode(text)
+        self.space = self.table[0x20]
+        #: Tokens by the characters of their bytes.
+        self.whole = {t.decode("latin-1").translate(self.table): struct.pack("<I", r) for t, r in ranks.items()}
+        self.texts = Chunked(self._encode_chunks)
+
+    def _piece(self, pretoken: str) -> str:
+        """The pre-token's bytes as the characters that pieces are made of."""
+        if pretoken.isascii() and pretoken.isprintable():
+            return pretoken.replace(" ", self.space)
+        return pretoken.encode("utf-8", "replace").decode("latin-1").translate(self.table)
+
+    def _split(self, chunk: str) -> list[str]:
+        """The pattern's matches; what is letters only, or letters and one mark, needs no search."""
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        if word.isalpha():
+            return [chunk]
+        if word[-1:] in (",", ".") and word[:-1].isalpha():
+            return [chunk[:-1], word[-1]]
+        return self.find(chunk)
+
+    def _encode_chunks(self, texts: list[str]) -> list[bytes]:
+        found = list(map(self._split, texts))
+        pretokens = list(set().union(*found))
+        pieces = list(map(self._piece, pretokens))
+        ids = dict(zip(pretokens, map(self.whole.get, pieces)))
+        rest = [(m, piece) for m, piece in zip(pretokens, pieces) if ids[m] is None]
+        for (m, _), run in zip(rest, self.model.encode([piece for _, piece in rest], num_threads=1)):
+            ids[m] = array("I", run if self.straight else [self.rank_of_piece[i] for i in run]).tobytes()
+        return [ids[t[0]] if len(t) == 1 else b"".join(map(ids.__getitem__, t)) for t in found]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit integers."""
+        return list(self.texts.encode(texts))
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes whose encoding the ids are: the inverse of the vocabulary's mapping, token by token."""
@@ -123,8 +139,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def encode_array(texts: pa.Array, path: str, pattern: str) -> pa.Array:
-    encode = codec(path, pattern).encode
-    return pa.array([encode(t.decode("utf-8", "replace")) if t else b"" for t in texts.to_pylist()], pa.binary())
+    return pa.array(codec(path, pattern).encode([(t or b"").decode("utf-8", "replace") for t in texts.to_pylist()]), pa.binary())
 
 
 def decode_array(ids: pa.Array, path: str, pattern: str) -> pa.Array:

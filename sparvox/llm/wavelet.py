@@ -25,6 +25,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparvox.llm._texts import Chunked
+from sparvox.llm.byte_bpe import byte_characters
 from sparvox.runtime import cut, shared_path, workers_see_package
 
 MAGIC = b"WVLTMTX1"
@@ -201,7 +203,11 @@ class WaveletMatrix:
 
 
 class Encoder:
-    """The tokenizers library's ids of whole texts, chunks encoded once while cached."""
+    """The tokenizers library's ids of whole texts, chunks encoded once while cached.
+
+    For a tokenizer that has only byte-level pre-tokens before a BPE model and nothing around it, a chunk of letters (with its
+    space) is a single pre-token, which the model takes as it is; everything else goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -209,10 +215,32 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.encode = Chunked(self._encode_chunk).encode
-
-    def _encode_chunk(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        pre = parts.get("pre_tokenizer") or {}
+        straight = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.straight = straight and parts["model"]["type"] == "BPE" and not parts.get("normalizer")
+        self.model = self.tokenizer.model
+        self.table = dict(enumerate(byte_characters()))
+        self.encode = Chunked(self._encode_chunks).encode
+
+    def _word(self, chunk: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(chunk.encode("utf-8", "replace").decode("latin-1").translate(self.table))]
+
+    def _encode_chunks(self, texts: list[str]) -> list[bytes]:
+        out: dict[str, bytes] = {}
+        marks: dict[str, list[int]] = {}
+        for text in texts if self.straight else ():
+            word = text[1:] if text[:1] == " " else text
+            if word.isalpha():
+                out[text] = array("I", self._word(text)).tobytes()
+            elif word[-1:] in (",", ".") and word[:-1].isalpha():
+                mark = word[-1]
+                out[text] = array("I", self._word(text[:-1]) + (marks.get(mark) or marks.setdefault(mark, self._word(mark)))).tobytes()
+        rest = [t for t in texts if t not in out]
+        for text, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            out[text] = array("I", e.ids).tobytes()
+        return [out[t] for t in texts]
 
 
 @lru_cache(maxsize=1)
@@ -244,8 +272,8 @@ def write_batches(batches: Iterator[pa.RecordBatch], uri: str, tokenizer: str, e
         return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "path": [name], "docs": [len(ids)], "tokens": [int(lengths.sum())]}, schema=MANIFEST)
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            raw = encode(text.decode("utf-8", "replace")) if text else b""
+        texts = [(t or b"").decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
+        for doc_id, raw in zip(batch.column(0).to_pylist(), encode(texts)):
             ids.append(NULL_ID if doc_id is None else doc_id)
             runs.append(np.frombuffer(raw + tail, "<u4"))
             held += len(runs[-1])
