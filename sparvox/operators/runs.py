@@ -1,0 +1,130 @@
+"""Inference runs as tables: task identities, resumable execution, failures, shards and their merge."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import re
+import time
+from abc import ABC, abstractmethod
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from sparvox.functions.text import REDACTIONS, shard_of
+from sparvox.operators.scoring import remaining
+from sparvox.runtime import workers_see_package
+from sparvox.sources.jsonl import dumps
+
+#: Equal failures in a row after which a partition stops: the fault is the run's, not the task's.
+SAME_FAILURES = 5
+RESULT = "task_id string, sample_id string, channel string, output string, error string, latency_s double"
+
+
+class Backend(ABC):
+    """What turns a task's input into output (JSON). prepare() runs once in each partition."""
+
+    identity: dict = {}
+
+    def prepare(self) -> None:  # noqa: B027
+        pass
+
+    @abstractmethod
+    def transcribe(self, sample_id: str, channel: str, content: bytes | None) -> dict: ...
+
+
+def digest(value: object) -> str:
+    return hashlib.sha256(dumps(value).encode()).hexdigest()
+
+
+def task_id(run: str, sample_id: Column, channel: Column, *more: Column) -> Column:
+    """Identity of a task under a run's digest: equal inputs give equal ids, so results can be resumed and merged."""
+    return F.sha2(F.to_json(F.struct(F.lit(run).alias("run"), sample_id.alias("sample_id"), channel.alias("channel"), *(c.alias(f"x{i}") for i, c in enumerate(more)))), 256)
+
+
+def redacted(message: str) -> str:
+    for pattern, put in REDACTIONS:
+        message = re.sub(pattern, put.replace("$1", r"\1"), message)
+    return message[:500]
+
+
+def attempt(backend: Backend, sample_id: str, channel: str, content: bytes | None, *, attempts: int = 3, pause_s: float = 0.5, cap_s: float = 30.0) -> dict:
+    """The output, with retries of what may pass (OSError), waits doubling up to a cap."""
+    for k in range(attempts):
+        try:
+            return backend.transcribe(sample_id, channel, content)
+        except OSError:
+            if k == attempts - 1:
+                raise
+            time.sleep(min(cap_s, pause_s * 2**k))
+    raise AssertionError
+
+
+def run_tasks(tasks: DataFrame, backend: Backend, *, run: dict, done: DataFrame | None = None, attempts: int = 3) -> DataFrame:
+    """A row (RESULT) for each task (sample_id, channel, content) that isn't among done. A failed task has an error and no output.
+
+    After SAME_FAILURES equal failures in a row a partition's other tasks fail unattempted: they are left for the next run.
+    """
+    workers_see_package(tasks.sparkSession)
+    identity = digest({"run": run, "backend": backend.identity})
+    named = tasks.withColumn("task_id", task_id(identity, F.col("sample_id"), F.col("channel")))
+    if done is not None:
+        named = remaining(named, done.where("error IS NULL"), ["task_id"])
+    content = F.col("content") if "content" in tasks.columns else F.lit(None).cast("binary").alias("content")
+
+    def execute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from sparvox.operators import runs
+
+        backend.prepare()
+        last, same = None, 0
+        for batch in batches:
+            rows = []
+            for name, sample_id, channel, data in zip(*(c.to_pylist() for c in batch.columns)):
+                began, output, error = time.monotonic(), None, None
+                if same >= runs.SAME_FAILURES:
+                    error = f"not attempted: {last}"
+                else:
+                    try:
+                        output = json.dumps(runs.attempt(backend, sample_id, channel, data, attempts=attempts), allow_nan=False)
+                        last, same = None, 0
+                    except Exception as e:
+                        error = runs.redacted(f"{type(e).__name__}: {e}")
+                        last, same = error, same + 1 if error == last else 1
+                rows.append((name, sample_id, channel, output, error, time.monotonic() - began))
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = [pa.string()] * 5 + [pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["task_id", "sample_id", "channel", "output", "error", "latency_s"])
+
+    return named.select("task_id", "sample_id", "channel", content).mapInArrow(execute, RESULT)
+
+
+def preflight(tasks: DataFrame, durations: DataFrame) -> dict:
+    """tasks, hours and the first 20 clips without a duration."""
+    both = tasks.join(durations, "sample_id", "left")
+    sums = both.agg(F.count("*").alias("tasks"), (F.sum("duration_s") / 3600).alias("hours")).first()
+    return {"tasks": sums["tasks"], "audio_hours": sums["hours"] or 0.0, "missing": [r[0] for r in both.where("duration_s IS NULL").select("sample_id").distinct().orderBy("sample_id").limit(20).collect()]}
+
+
+def merge_shards(shards: list[DataFrame], expected: DataFrame, *, partial: bool = False) -> DataFrame:
+    """Results of all shards in order of (sample_id, channel). A task in two shards, one that isn't expected and (unless partial) a missing one raise."""
+    all_rows = shards[0]
+    for s in shards[1:]:
+        all_rows = all_rows.unionByName(s)
+    twice = all_rows.groupBy("sample_id", "channel").count().where("count > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"tasks in two shards: {[tuple(r)[:2] for r in twice]}")
+    keys = ["sample_id", "channel"]
+    extra = remaining(all_rows.select(*keys), expected, keys).limit(5).collect()
+    if extra:
+        raise ValueError(f"unexpected tasks: {[tuple(r) for r in extra]}")
+    if not partial and (missing := remaining(expected.select(*keys), all_rows, keys).limit(5).collect()):
+        raise ValueError(f"missing tasks: {[tuple(r) for r in missing]}")
+    return all_rows.orderBy(*keys)
+
+
+def coverage(results: DataFrame, shards: int) -> DataFrame:
+    """shard, completed, failed."""
+    own = results.withColumn("shard", shard_of(F.col("sample_id"), F.col("channel"), shards))
+    return own.groupBy("shard").agg(F.count_if(F.col("error").isNull()).alias("completed"), F.count_if(F.col("error").isNotNull()).alias("failed"))
