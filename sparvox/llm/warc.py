@@ -259,20 +259,21 @@ def write(df: DataFrame, uri: str, *, page_id: str = "page_id", url: str = "url"
     payload = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
     pages = df.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     pages = pages.withColumn("digest", F.arrow_udf(digests, "string")("payload")).withColumn("size", F.octet_length("payload"))
-    first = pages.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
-    first = cut(first)
-    rows = first.agg(F.sum("n")).first()[0] or 0
-    repeated = first.where("n > 1").select("digest", "size", "first", "n")
-    hot = F.broadcast(repeated.where(F.col("n") > rows / HOT).select("digest", "size", F.col("first").alias("hot_first")))
-    with_hot = pages.join(hot, ["digest", "size"], "left")
-    cold = repeated.where(F.col("n") <= rows / HOT).select("digest", "size", F.col("first").alias("cold_first"))
-    # A hot digest's rows have no match among the others: they join by page_id's hash instead of piling up.
-    key = F.when(F.col("hot_first").isNull(), F.col("digest")).otherwise(F.concat(F.lit("hot"), F.xxhash64("page_id").cast("string")))
-    both = with_hot.withColumn("key", key).join(cold.withColumnRenamed("digest", "key"), ["key", "size"], "left")
-    target = F.coalesce("hot_first", "cold_first")
-    final = both.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") != target, target).alias("refers_to"))
+    pages = pages.withColumn("same", F.concat("digest", F.lit(":"), F.col("size").cast("string")))
+    first = cut(pages.where(F.col("size") >= least).groupBy("same").agg(F.max("page_id").alias("first"), F.count("*").alias("n")))
+    rows = pages.count()
+    repeated = first.where("n > 1")
+    hot = F.broadcast(repeated.where(F.col("n") > rows / HOT).select("same", F.col("first").alias("hot_first")))
+    with_hot = pages.join(hot, "same", "left")
+    # A hot digest's rows have no match among the others: they go by page_id's hash instead of piling up.
+    key = F.when(F.col("hot_first").isNull(), F.col("same")).otherwise(F.concat(F.lit("hot"), F.xxhash64("page_id").cast("string")))
     files = max(1, -(-rows // ROWS_PER_FILE))
-    ordered = final.repartition(files, F.xxhash64("page_id", "digest")).sortWithinPartitions("page_id", "digest", "url")
+    # Payloads are shuffled once, by the join's own key, into the partitions that become files.
+    placed = with_hot.withColumn("key", key).repartition(files, "key")
+    cold = repeated.where(F.col("n") <= rows / HOT).select(F.col("same").alias("key"), F.col("first").alias("cold_first")).repartition(files, "key")
+    target = F.coalesce("hot_first", "cold_first")
+    final = placed.join(cold, "key", "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id") != target, target).alias("refers_to"))
+    ordered = final.sortWithinPartitions("page_id", "digest", "url")
     return cut(ordered.mapInArrow(run, "path string, records long, bytes long"))
 
 
