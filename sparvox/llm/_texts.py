@@ -5,9 +5,13 @@ from __future__ import annotations
 import gc
 import re
 from collections.abc import Callable, Iterator
+from itertools import compress, repeat
+from operator import is_
 
 #: White space beside a place where the text would be cut, or at its ends; no text.
 _ODD = re.compile(r"(?:^| )(?:\s|$)|\s(?: |$)")
+#: White space other than spaces and line feeds.
+_RARE = re.compile(r"[^\S \n]")
 #: Characters of the texts whose chunks are encoded in one call.
 GROUP = 1 << 21
 
@@ -21,8 +25,8 @@ class Chunked:
     a chunk is empty or has white space at an edge, it is joined with what surrounds it, and encoded as one.
     """
 
-    def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], most: int = 1_000_000):
-        self.encode_chunks, self.most = encode_chunks, most
+    def __init__(self, split: Callable[[str], list[str]], encode_pretokens: Callable[[list[str]], list[bytes]], most: int = 1_000_000):
+        self.split, self.encode_pretokens, self.most = split, encode_pretokens, most
         #: Of chunks without their space, and of texts' first chunks.
         self.cache: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
@@ -46,19 +50,19 @@ class Chunked:
         gc.disable()  # strings only, but the collector would walk their lists again and again
         try:
             firsts = list({p[0] for p in group})
-            self.first.update(zip(firsts, self.encode_chunks(firsts)))
+            self.first.update(zip(firsts, self._chunks(firsts)))
             get, new, gaps = self.cache.get, set(), []
             runs = []
             for parts in group:
                 run = list(map(get, parts))
                 run[0] = self.first[parts[0]]
-                if None in run:
-                    holes = [i for i, x in enumerate(run) if x is None]
+                runs.append(run)
+                holes = list(compress(range(len(run)), map(is_, run, repeat(None))))
+                if holes:
                     new.update([parts[i] for i in holes])
                     gaps.append((parts, run, holes))
-                runs.append(run)
             fresh = list(new)
-            self.cache.update(zip(fresh, self.encode_chunks([" " + p for p in fresh])))
+            self.cache.update(zip(fresh, self._chunks([" " + p for p in fresh])))
             for parts, run, holes in gaps:
                 for i in holes:
                     run[i] = get(parts[i])
@@ -68,10 +72,36 @@ class Chunked:
                 gc.enable()
 
 
+    def _chunks(self, texts: list[str]) -> list[bytes]:
+        """Encodings of chunks: of their pre-tokens, each of which is looked up or encoded once; words go to the cache as well."""
+        found = list(map(self.split, texts))
+        known, new, get = {}, [], self.cache.get
+        for pretoken in set().union(*found):
+            ids = get(pretoken[1:]) if pretoken[:1] == " " else None
+            if ids is None:
+                new.append(pretoken)
+            else:
+                known[pretoken] = ids
+        known.update(zip(new, self.encode_pretokens(new)))
+        self.cache.update((p[1:], known[p]) for p in new if p[:1] == " " and p[1:2].isalpha())
+        return [known[t[0]] if len(t) == 1 else b"".join(map(known.__getitem__, t)) for t in found]
+
+
+def letters(chunk: str) -> list[str] | None:
+    """The pre-tokens of a chunk of letters, or of letters and a comma or dot, without the pattern's help."""
+    word = chunk[1:] if chunk[:1] == " " else chunk
+    if word.isalpha():
+        return [chunk]
+    if word[-1:] in (",", ".") and word[:-1].isalpha():
+        return [chunk[:-1], word[-1]]
+    return None
+
+
 def chunks(text: str) -> list[str]:
     """The text's chunks, all but the first without the space that they begin with; joined by spaces they are the text."""
     parts = text.split(" ")
-    if not _ODD.search(text):
+    plain = parts[0] and parts[-1] and "  " not in text and "\n " not in text and " \n" not in text and text[0] != "\n" and text[-1] != "\n"
+    if plain and not (_RARE.search(text) and _ODD.search(text)):
         return parts
     out = [parts[0]]
     loose = not parts[0] or parts[0][-1].isspace()  # whether the chunk so far can't be closed

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparvox.llm._texts import Chunked
+from sparvox.llm._texts import Chunked, letters
 from sparvox.runtime import workers_see_package
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -97,7 +97,7 @@ class Codec:
         self.space = self.table[0x20]
         #: Tokens by the characters of their bytes.
         self.whole = {t.decode("latin-1").translate(self.table): struct.pack("<I", r) for t, r in ranks.items()}
-        self.texts = Chunked(self._encode_chunks)
+        self.texts = Chunked(self._split, self._encode_pretokens)
 
     def _piece(self, pretoken: str) -> str:
         """The pre-token's bytes as the characters that pieces are made of."""
@@ -106,23 +106,17 @@ class Codec:
         return pretoken.encode("utf-8", "replace").decode("latin-1").translate(self.table)
 
     def _split(self, chunk: str) -> list[str]:
-        """The pattern's matches; what is letters only, or letters and one mark, needs no search."""
-        word = chunk[1:] if chunk[:1] == " " else chunk
-        if word.isalpha():
-            return [chunk]
-        if word[-1:] in (",", ".") and word[:-1].isalpha():
-            return [chunk[:-1], word[-1]]
-        return self.find(chunk)
-
-    def _encode_chunks(self, texts: list[str]) -> list[bytes]:
-        found = list(map(self._split, texts))
-        pretokens = list(set().union(*found))
+        """The pattern's matches."""
+        return letters(chunk) or self.find(chunk)
+
+    def _encode_pretokens(self, pretokens: list[str]) -> list[bytes]:
+        """Ids of each pre-token, each encoded by itself; a pre-token that is a token is that token."""
         pieces = list(map(self._piece, pretokens))
-        ids = dict(zip(pretokens, map(self.whole.get, pieces)))
-        rest = [(m, piece) for m, piece in zip(pretokens, pieces) if ids[m] is None]
-        for (m, _), run in zip(rest, self.model.encode([piece for _, piece in rest], num_threads=1)):
-            ids[m] = array("I", run if self.straight else [self.rank_of_piece[i] for i in run]).tobytes()
-        return [ids[t[0]] if len(t) == 1 else b"".join(map(ids.__getitem__, t)) for t in found]
+        ids = list(map(self.whole.get, pieces))
+        rest = [i for i, x in enumerate(ids) if x is None]
+        for i, run in zip(rest, self.model.encode([pieces[i] for i in rest], num_threads=1)):
+            ids[i] = array("I", run if self.straight else [self.rank_of_piece[r] for r in run]).tobytes()
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers."""

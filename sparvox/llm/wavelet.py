@@ -4,7 +4,7 @@ A shard file holds the ids of a run of documents, in ascending id order, as bit-
 highest bit in text order; the tokens with a 0 there then go before those with a 1, each part in order, and the next
 plane has their next bit, and so on. With a count of ones before every 512 bits, rank and select take a plane's few
 bytes, so the file alone answers: the token at a place, how often a token occurs in a range, where its k-th occurrence is.
-Planes and directories are deflated in independent blocks, read only as asked for.
+Planes and directories are compressed (Zstandard) in independent blocks, read only as asked for.
 
 File layout: 8 bytes of magic; the header's length (unsigned 64-bit, little-endian); the header, JSON: n (tokens), bits,
 zeros (per plane), docs, and for each section (doc_ids, lengths, plane0.., rank0..) its blocks as [offset, stored size];
@@ -24,22 +24,22 @@ import json
 import os
 import struct
 import uuid
-import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparvox.llm._texts import Chunked
-from sparvox.llm.byte_bpe import byte_characters
+from sparvox.llm._texts import Chunked, letters
+from sparvox.llm.byte_bpe import PATTERN, byte_characters
 from sparvox.runtime import cut, shared_path, workers_see_package
 
 MAGIC = b"WVLTMTX1"
-BLOCK_BITS = 1 << 19  # bits of a plane in a deflated block
+BLOCK_BITS = 1 << 19  # bits of a plane in a compressed block
 SPAN = 512  # bits between counts of ones
 RANKS_IN_BLOCK = 1 << 14
 #: Ids after which a task starts a new file.
@@ -53,11 +53,12 @@ def planes_of(values: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int
     """Packed bit-planes from the highest bit down, and each plane's number of zeros."""
     planes, zeros = [], []
     for bit in range(bits - 1, -1, -1):
-        ones = ((values >> values.dtype.type(bit)) & values.dtype.type(1)).astype(bool)
+        ones = (values & values.dtype.type(1 << bit)).astype(bool)
         planes.append(np.packbits(ones, bitorder="little"))
-        low, high = values.take(np.flatnonzero(~ones)), values.take(np.flatnonzero(ones))
+        high = np.flatnonzero(ones)
+        low = np.flatnonzero(np.logical_not(ones, out=ones))
         zeros.append(len(low))
-        values = np.concatenate((low, high))
+        values = np.concatenate((values.take(low), values.take(high)))
     return planes, zeros
 
 
@@ -79,10 +80,11 @@ def serialise(doc_ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> b
         sections[f"plane{k}"] = (plane.tobytes(), BLOCK_BITS // 8)
         sections[f"rank{k}"] = (counts_of(plane, len(tokens)).tobytes(), RANKS_IN_BLOCK * 8)
     where, body, at = {}, [], 0
+    pack = zstandard.ZstdCompressor(level=1).compress
     for name, (raw, step) in sections.items():
         where[name] = []
         for i in range(0, len(raw), step):
-            block = zlib.compress(raw[i : i + step], 1)
+            block = pack(raw[i : i + step])
             where[name].append([at, len(block)])
             body.append(block)
             at += len(block)
@@ -91,7 +93,7 @@ def serialise(doc_ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> b
 
 
 class WaveletMatrix:
-    """Reads a shard file; source has seek and read. Blocks are inflated when first needed."""
+    """Reads a shard file; source has seek and read. Blocks are unpacked when first needed."""
 
     def __init__(self, source):
         self.source = source
@@ -102,12 +104,13 @@ class WaveletMatrix:
         head = json.loads(source.read(size))
         self.n, self.bits, self.zeros, self.docs, self.sections = (head[k] for k in ("n", "bits", "zeros", "docs", "sections"))
         self.base = 16 + size
+        self.inflate = zstandard.ZstdDecompressor().decompress
         self.block = lru_cache(maxsize=256)(self._block)
 
     def _block(self, section: str, k: int) -> bytes:
         at, size = self.sections[section][k]
         self.source.seek(self.base + at)
-        return zlib.decompress(self.source.read(size))
+        return self.inflate(self.source.read(size))
 
     def _whole(self, section: str) -> bytes:
         return b"".join(self._block(section, k) for k in range(len(self.sections[section])))
@@ -205,12 +208,13 @@ class WaveletMatrix:
 class Encoder:
     """The tokenizers library's ids of whole texts, chunks encoded once while cached.
 
-    For a tokenizer that has only byte-level pre-tokens before a BPE model and nothing around it, a chunk of letters (with its
-    space) is a single pre-token, which the model takes as it is; everything else goes through the whole tokenizer.
+    For a tokenizer that has only byte-level pre-tokens before a BPE model and nothing around it, chunks are split by the byte-level
+    pattern and each pre-token goes to the library's model; any other tokenizer gets its chunks whole.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -219,28 +223,24 @@ class Encoder:
             parts = json.load(f)
         pre = parts.get("pre_tokenizer") or {}
         straight = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.straight = straight and parts["model"]["type"] == "BPE" and not parts.get("normalizer")
+        straight = straight and parts["model"]["type"] == "BPE" and not parts.get("normalizer")
         self.model = self.tokenizer.model
         self.table = dict(enumerate(byte_characters()))
-        self.encode = Chunked(self._encode_chunks).encode
-
-    def _word(self, chunk: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(chunk.encode("utf-8", "replace").decode("latin-1").translate(self.table))]
-
-    def _encode_chunks(self, texts: list[str]) -> list[bytes]:
-        out: dict[str, bytes] = {}
-        marks: dict[str, list[int]] = {}
-        for text in texts if self.straight else ():
-            word = text[1:] if text[:1] == " " else text
-            if word.isalpha():
-                out[text] = array("I", self._word(text)).tobytes()
-            elif word[-1:] in (",", ".") and word[:-1].isalpha():
-                mark = word[-1]
-                out[text] = array("I", self._word(text[:-1]) + (marks.get(mark) or marks.setdefault(mark, self._word(mark)))).tobytes()
-        rest = [t for t in texts if t not in out]
-        for text, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            out[text] = array("I", e.ids).tobytes()
-        return [out[t] for t in texts]
+        self.space = self.table[0x20]
+        find = regex.compile(PATTERN).findall
+        split = (lambda c: letters(c) or find(c)) if straight else (lambda c: [c])
+        self.encode = Chunked(split, self._pretokens if straight else self._whole).encode
+
+    def _pretokens(self, pretokens: list[str]) -> list[bytes]:
+        out, tokenize = [], self.model.tokenize
+        for p in pretokens:
+            plain = p.isascii() and p.isprintable()
+            piece = p.replace(" ", self.space) if plain else p.encode("utf-8", "replace").decode("latin-1").translate(self.table)
+            out.append(array("I", [t.id for t in tokenize(piece)]).tobytes())
+        return out
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 @lru_cache(maxsize=1)
