@@ -106,9 +106,9 @@ def sample_entries(pages: DataFrame) -> DataFrame:
 
 
 def report(pages: DataFrame) -> DataFrame:
-    """page_id, url, fetched, blocked, n_rules, lists (joined by commas) of every page."""
+    """page_id, url, fetched_s (seconds since 1970), blocked, n_rules, lists (joined by commas) of every page."""
     done = evaluate(sample_captures(pages), sample_entries(pages))
-    return done.select("page_id", "url", "fetched", "blocked", "n_rules", F.array_join("lists", ",").alias("lists"))
+    return done.select("page_id", "url", F.unix_timestamp("fetched").alias("fetched_s"), "blocked", "n_rules", F.array_join("lists", ",").alias("lists"))
 
 
 SQL = r"""
@@ -135,6 +135,6 @@ met AS (
   SELECT o.page_id, count(*) AS n_rules, string_agg(DISTINCT s.list, ',' ORDER BY s.list) AS lists
   FROM (SELECT DISTINCT * FROM offered) o JOIN spans s ON o.kind = s.kind AND o.rule = s.rule AND s.valid_from <= o.fetched AND (s.valid_to IS NULL OR o.fetched < s.valid_to)
   GROUP BY o.page_id)
-SELECT c.page_id, c.url, c.fetched::TIMESTAMPTZ AS fetched, m.page_id IS NOT NULL AS blocked, coalesce(m.n_rules, 0)::BIGINT AS n_rules, coalesce(m.lists, '') AS lists
+SELECT c.page_id, c.url, epoch(c.fetched)::BIGINT AS fetched_s, m.page_id IS NOT NULL AS blocked, coalesce(m.n_rules, 0)::BIGINT AS n_rules, coalesce(m.lists, '') AS lists
 FROM captures c LEFT JOIN met m ON c.page_id = m.page_id
 """
