@@ -51,12 +51,13 @@ def targets(sizes: DataFrame) -> DataFrame:
         F.sum("weight").over(full).alias("gone"),
         F.sum("weight").over(everything).alias("weights"),
         (SHARE * F.sum("size").over(everything)).alias("demand"),
+        F.row_number().over(by_ratio).alias("place"),
     )
-    # The level if exactly the sources up to this one are full; the first whose next source isn't over it holds.
+    # The level if exactly the sources before this one are full; it holds for the first source that isn't above its limit then.
     before_filled, before_gone = F.col("filled") - F.col("most"), F.col("gone") - F.col("weight")
     level = (F.col("demand") - before_filled) / (F.col("weights") - before_gone)
     leveled = totals.withColumn("level", F.when(F.col("most") >= F.col("weight") * level, level))
-    found = leveled.withColumn("water", F.min_by("level", F.col("most") / F.col("weight")).over(everything))
+    found = leveled.withColumn("water", F.min_by("level", F.when(F.col("level").isNotNull(), F.col("place"))).over(everything))
     water = F.coalesce(F.col("weight") * F.col("water"), F.col("most").cast("double"))
     return found.select("source", "size", "weight", "slope", F.least(F.col("most").cast("double"), water).alias("target"))
 
