@@ -9,9 +9,10 @@ longer are excluded; below the empty context all 256 bytes left over are equally
 a symbol was seen in. Every context's probabilities, with exclusions, add up to one.
 
 Pretrained: windows of ORDER + 1 bytes of all training documents are counted in parallel, summed by Spark, and
-the shorter contexts follow from these sums. A gram of any length stays in the trie if its share of the windows is at
-least SHARE, so no order has over 1 / SHARE entries, whatever the corpus: that bounds the file that workers load. The counts
-of grams left out stay in their contexts' sums, so what they had goes to the escape.
+the shorter contexts follow from these sums. Every gram of every length is kept, in tables that grow with the corpus. Up to
+1 / SHARE training windows, workers load the trie whole. Beyond, they hold the windows with a share of at least SHARE (at most
+1 / SHARE of them), as a cache: all other windows of a document come by a join with the table of all windows, and those that
+no training text has by joins with the tables of the shorter grams and their contexts. What is cached doesn't change any result.
 adaptive() instead codes each document by a trie that starts empty and learns from it as it goes.
 
 Base model: log10((c + 0.1) / (N + 0.1 * (V + 1))) summed over word tokens and one end, c, N and V from all training tokens.
@@ -39,7 +40,7 @@ from sparvox.runtime import cut, shared_path, stage, workers_see_package
 
 ORDER = 5
 END = 0xFF
-#: Grams and words of at least this share of the corpus are held by the workers.
+#: Windows and words of at least this share of the corpus are held by the workers; the others come by joins.
 SHARE = 1 / (1 << 22)
 #: Hash of the end token, which no word has.
 END_WORD = 0
@@ -155,7 +156,7 @@ def tagged(keys: np.ndarray, length: int) -> np.ndarray:
 def build(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
     """The trie as arrays. levels[j]: sorted grams of j + 1 bytes, their counts, and the count of all that their context has.
 
-    A kept gram's suffixes are kept too. Grams that were left out still count in their context: what they had goes to the escape.
+    A kept gram's suffixes are kept too. If grams are left out, they still count in their context: what they had goes to the escape.
     entries: key, direct (log10 probability in their own context), weight (log10 of twice the count less one). contexts:
     key, leave (log10 of the escape), below and on (log10 of twice the next context's count, and of the escape from it,
     when this one's symbols are excluded there).
@@ -198,12 +199,16 @@ def build(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[str,
 
 
 class Model:
-    """A trie with the base model's frequent words."""
+    """A trie, or the frequent windows of one, with the base model's frequent words."""
 
     def __init__(self, arrays: dict[str, np.ndarray], order: int):
         self.a, self.order = arrays, order
-        self.entries, self.contexts = Table(arrays["keys"]), Table(arrays["contexts"])
+        self.whole = "contexts" in arrays
+        self.entries = Table(arrays["keys"])
         self.words = Table(arrays["words"]) if "words" in arrays else None
+        if not self.whole:
+            return
+        self.contexts = Table(arrays["contexts"])
         self.last = math.log10(max(1, 256 - int(arrays["symbols"][0])))
 
     def symbols(self, grams: np.ndarray) -> np.ndarray:
@@ -232,9 +237,22 @@ class Model:
         out[todo] = spent - self.last
         return out
 
-    def score(self, texts: list[list[bytes]]) -> np.ndarray:
+    def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Of each text: the sum over the windows that are held, the distinct windows that aren't, and how often each is there."""
         grams, starts = windows([spelled(t) for t in texts], self.order)
-        return np.add.reduceat(self.symbols(grams), starts)
+        if self.whole:
+            none = [np.empty(0, np.int64)] * len(texts)
+            return np.add.reduceat(self.symbols(grams), starts), none, none
+        at = self.entries.find(tagged(grams, self.order + 1))
+        sums = np.add.reduceat(np.append(self.a["direct"], 0.0)[at], starts)
+        far = np.flatnonzero(at < 0)
+        text, keys = np.searchsorted(starts, far, "right") - 1, grams[far]
+        by = np.lexsort((keys, text))
+        text, keys = text[by], keys[by]
+        first = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (keys[1:] != keys[:-1])))) if len(far) else far
+        times = np.diff(np.append(first, len(far)))
+        cuts = np.searchsorted(text[first], np.arange(1, len(texts)))
+        return sums, np.split(keys[first].view(np.int64), cuts), np.split(times, cuts)
 
 
 @lru_cache(maxsize=1)
@@ -248,8 +266,8 @@ def load(uri: str, order: int) -> Model:
         return Model(dict(np.load(io.BytesIO(source.read()))), order)
 
 
-def save_batches(batches: Iterator[pa.RecordBatch], grams_uri: str, words_uri: str, uri: str, order: int) -> Iterator[pa.RecordBatch]:
-    """Builds the trie from the kept grams and words, whose number is bounded, and stores it."""
+def save_batches(batches: Iterator[pa.RecordBatch], grams_uri: str, words_uri: str, uri: str, order: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Builds what workers hold from the stored grams and words, whose number is bounded, and stores it."""
     import io
     import uuid
 
@@ -263,13 +281,17 @@ def save_batches(batches: Iterator[pa.RecordBatch], grams_uri: str, words_uri: s
 
     for batch in batches:
         grams, frequent = rows(grams_uri), rows(words_uri)
-        levels = []
-        for j in range(order + 1):
-            own = grams["bytes"] == j + 1
-            keys = grams["key"][own].astype(np.int64).view(np.uint64)
-            by = np.argsort(keys)
-            levels.append((keys[by], grams["n"][own][by], grams["of"][own][by]))
-        arrays = build(levels) | {"words": frequent["key"].astype(np.int64).view(np.uint64), "counts": frequent["n"].astype(np.int64)}
+        if whole:
+            levels = []
+            for j in range(order + 1):
+                own = grams["bytes"] == j + 1
+                keys = grams["key"][own].astype(np.int64).view(np.uint64)
+                by = np.argsort(keys)
+                levels.append((keys[by], grams["n"][own][by], grams["of"][own][by]))
+            arrays = build(levels)
+        else:
+            arrays = {"keys": tagged(grams["key"].astype(np.int64).view(np.uint64), order + 1), "direct": grams["p"].astype(np.float64)}
+        arrays |= {"words": frequent["key"].astype(np.int64).view(np.uint64), "counts": frequent["n"].astype(np.int64)}
         out = io.BytesIO()
         np.savez(out, **arrays)
         system, path = fs.FileSystem.from_uri(uri)
@@ -281,7 +303,7 @@ def save_batches(batches: Iterator[pa.RecordBatch], grams_uri: str, words_uri: s
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], uri: str, order: int, total: int, distinct: int) -> Iterator[pa.RecordBatch]:
-    """Each document's scores; rare: hashes of its words that the model hasn't, repeated as they are."""
+    """Each document's scores; rare: hashes of its words that the model hasn't, repeated as they are; far, times: windows that it hasn't."""
     from pyspark import TaskContext
 
     model = load(uri, order)
@@ -290,7 +312,7 @@ def score_batches(batches: Iterator[pa.RecordBatch], uri: str, order: int, total
     counts = np.append(model.a["counts"], 0)
     logs = np.log10(counts + 0.1) - den
     for ids, texts in held(batches):
-        score = model.score(texts)
+        score, far, times = model.score(texts)
         lengths = np.array([len(t) + 1 for t in texts])
         hashes = np.fromiter((h for t in texts for h in (*map(_hash.__getitem__, t), END_WORD)), np.uint64, int(lengths.sum()))
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
@@ -305,13 +327,14 @@ def score_batches(batches: Iterator[pa.RecordBatch], uri: str, order: int, total
                 [
                     pa.array(range(row + k, row + min(len(ids), k + 2048)), pa.int64()), pa.array(ids[x], pa.int64()), pa.array(lengths[x]), pa.array(n_known[x]),
                     pa.array(base[x]), pa.array(score[x]), pa.array(rare[x], pa.list_(pa.int64())),
+                    pa.array(far[x], pa.list_(pa.int64())), pa.array(times[x], pa.list_(pa.int64())),
                 ],
-                ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare"],
+                ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare", "far", "times"],
             )
         row += len(ids)
 
 
-SCORED = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<long>"
+SCORED = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<long>, far array<long>, times array<long>"
 
 
 def held_out(doc_id: str):
@@ -319,6 +342,40 @@ def held_out(doc_id: str):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 10, F.lit(0)) == 0
 
 
+def escaped(novel: DataFrame, levels: list[DataFrame], order: int) -> DataFrame:
+    """key, p: log10 probability of windows that no training text has. levels[j]: all grams (key, n) of j + 1 bytes.
+
+    From the longest context down, as Model.symbols: d, n and inside are the number of a context's symbols, their counts' sum and
+    the sum of the counts that the next shorter context has for them. Tables of at most 2^16 rows are broadcast.
+    """
+    low = lambda column, size: column.bitwiseAND(F.lit((1 << 8 * size) - 1))
+    small = lambda df, size: F.broadcast(df) if size <= 2 else df
+    none = F.lit(None)
+    rows = novel.select("key", none.cast("double").alias("p"), none.cast("double").alias("spent"), none.cast("long").alias("d"), none.cast("long").alias("inside"))
+    for j in range(order, -1, -1):
+        context = low(F.shiftright("key", 8), j).alias("context")
+        own = levels[j].select(context, "key", "n").join(novel.select(context).distinct(), "context", "left_semi")
+        if j:
+            shorter = levels[j - 1].select(F.col("key").alias("suffix"), F.col("n").alias("there"))
+            own = own.withColumn("suffix", low(F.col("key"), j)).join(small(shorter, j), "suffix")
+        else:
+            own = own.withColumn("there", F.lit(0))
+        stats = own.groupBy("context").agg(F.sum("n").alias("n_"), F.count("*").alias("d_"), F.sum("there").alias("inside_"))
+        rows = rows.withColumn("context", context).join(small(stats, j), "context", "left")
+        rest = 2 * (F.col("n_") - F.col("inside"))
+        begun = F.col("spent").isNotNull()
+        if j < order:
+            grams = levels[j].select(F.col("key").alias("gram"), F.col("n").alias("c"))
+            rows = rows.withColumn("gram", low(F.col("key"), j + 1)).join(small(grams, j + 1), "gram", "left")
+            weight = F.log10(2.0 * F.col("c") - 1)
+            hit = F.when(begun, F.col("spent") + weight - F.log10(rest)).otherwise(weight - F.log10(2.0 * F.col("n_")))
+            rows = rows.withColumn("p", F.coalesce("p", hit))
+        on = F.when(rest > 0, F.log10((F.col("d_") - F.col("d")) / rest)).otherwise(0.0)
+        leave = F.log10(F.col("d_") / (2 * F.col("n_")))
+        rows = rows.select("key", "p", F.when(begun, F.col("spent") + on).otherwise(leave).alias("spent"), F.col("d_").alias("d"), F.col("inside_").alias("inside"))
+    return rows.select("key", F.coalesce("p", F.col("spent") - F.log10(F.greatest(F.lit(1), 256 - F.col("d")))).alias("p"))
+
+
 def score(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, share: float = SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of df."""
     spark = df.sparkSession
@@ -337,20 +394,28 @@ def score(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order: i
     sums = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect()}
     positions, (total, distinct) = (sums[0]["n"], (sums[1]["n"], sums[1]["d"])) if sums else (0, (0, 0))
 
+    whole = share * positions <= 1
     level = counts.where("kind = 0").select("key", F.col("n").alias("seen"), "n")
-    levels = []
-    for size in range(order + 1, 0, -1):
-        if size <= order:
-            suffix = F.col("key").bitwiseAND(F.lit((1 << 8 * size) - 1))
-            level = cut(level.groupBy(suffix.alias("key")).agg(F.sum("seen").alias("seen"), F.count("*").alias("n")))
+    levels = [level]
+    for size in range(order, 0, -1):
+        suffix = F.col("key").bitwiseAND(F.lit((1 << 8 * size) - 1))
+        level = cut(level.groupBy(suffix.alias("key")).agg(F.sum("seen").alias("seen"), F.count("*").alias("n")))
+        levels.insert(0, level)
+
+    def with_wholes(level: DataFrame) -> DataFrame:
         own = level.withColumn("context", F.shiftright("key", 8))
-        frequent = own.where(F.col("seen") >= share * positions)
-        wholes = own.groupBy("context").agg(F.sum("n").alias("of"))
-        levels.append(frequent.join(wholes, "context").select(F.lit(size).alias("bytes"), "key", "n", "of"))
-    kept = levels[0]
-    for other in levels[1:]:
-        kept = kept.union(other)
+        return own.join(own.groupBy("context").agg(F.sum("n").alias("of")), "context")
+
     grams_uri, words_uri, uri = (shared_path(spark, f"ppm-{k}") for k in ("grams", "words", "model"))
+    if whole:
+        kept = None
+        for j in range(order, -1, -1):
+            own = with_wholes(levels[j]).select(F.lit(j + 1).alias("bytes"), "key", "n", "of")
+            kept = own if kept is None else kept.union(own)
+    else:
+        direct = with_wholes(levels[order]).select("key", "seen", F.log10((2.0 * F.col("n") - 1) / (2.0 * F.col("of"))).alias("p"))
+        direct = stage(direct, "windows")
+        kept = direct.where(F.col("seen") >= share * positions).select("key", "p")
     kept.write.parquet(grams_uri)
     vocabulary = counts.where("kind = 1").select("key", "n")
     vocabulary.where(F.col("n") >= share * total).write.parquet(words_uri)
@@ -358,7 +423,7 @@ def score(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order: i
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from sparvox.llm import ppm
 
-        return ppm.save_batches(batches, grams_uri, words_uri, uri, order)
+        return ppm.save_batches(batches, grams_uri, words_uri, uri, order, whole)
 
     spark.range(1, numPartitions=1).mapInArrow(save, "id long").count()
 
@@ -370,11 +435,20 @@ def score(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order: i
     scored = stage(docs.mapInArrow(run, SCORED), "scored")
     den = math.log10(total + 0.1 * (distinct + 1))
     rare = scored.select("row", F.explode("rare").alias("key")).join(vocabulary, "key", "left")
-    rare = rare.groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1) - den).alias("base"))
-    both = scored.drop("rare").join(rare, "row", "left")
+    parts = rare.select("row", F.col("n").isNotNull().cast("long").alias("known"), (F.log10(F.coalesce("n", F.lit(0)) + 0.1) - den).alias("base"), F.lit(0.0).alias("sum"))
+    if not whole:
+        far = scored.select("row", "doc_id", F.explode(F.arrays_zip("far", "times")).alias("x")).select("row", "doc_id", "x.far", "x.times").withColumnRenamed("far", "key")
+        novel = cut(far.where(held_out("doc_id")).select("key").distinct().join(direct, "key", "left_anti"))
+        every = direct.select("key", "p").union(cut(escaped(novel, levels, order)))
+        found = far.join(every, "key").select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), (F.col("times") * F.col("p")).alias("sum"))
+        parts = parts.union(found)
+    parts = parts.groupBy("row").agg(F.sum("known").alias("more"), F.sum("base").alias("base"), F.sum("sum").alias("sum"))
+    both = scored.drop("rare", "far", "times").join(parts, "row", "left")
+    zero = F.lit(0.0)
     return both.select(
         "doc_id", held_out("doc_id").alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"), "score",
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("base", zero)).alias("base_score"),
+        (F.col("score") + F.coalesce("sum", zero)).alias("score"),
     )
 
 

@@ -289,6 +289,16 @@ def test_ppm_leaves_rare_words_to_the_join(docs):
         assert r["base_score"] == pytest.approx(b[k]["base_score"], rel=1e-9)
 
 
+@pytest.mark.parametrize("order", [0, 3, 5])
+def test_ppm_scores_do_not_depend_on_what_workers_hold(docs, order):
+    whole = {r["doc_id"]: r for r in ppm.score(docs, order=order, share=0.0).collect()}
+    for share in (1e-4, 2.0):
+        for r in ppm.score(docs, order=order, share=share).collect():
+            assert r["score"] == pytest.approx(whole[r["doc_id"]]["score"], rel=1e-6)
+            assert r["base_score"] == pytest.approx(whole[r["doc_id"]]["base_score"], rel=1e-9)
+            assert r["n_known"] == whole[r["doc_id"]]["n_known"]
+
+
 def test_ppm_probabilities_add_up():
     texts = [ppm.spelled(t) for t in ([b"abra", b"cadabra"], [b"abra"], [b"bar"])]
     for least in (0, 2):
