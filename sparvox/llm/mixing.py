@@ -17,7 +17,8 @@ first, running over a source's slices, then within a slice. Slices hold about SL
 places don't depend on how many there are. Only tables with a row for each source go through one task.
 
 Defined results: null text has size 0; documents without words take no part (taken 0, no position); a null source is a source; ties
-in the hash are ordered by doc_id, then text hash; repeated rows each count; empty tables give empty results; a doc_id that is
+in the hash are ordered by doc_id, then text hash; repeated rows each count, and in mix() each has its own place: equal rows of a
+source get their places in the order of a hash of all their columns; empty tables give empty results; a doc_id that is
 null hashes like any other value. Extra columns of df stay in mix().
 """
 
@@ -67,7 +68,7 @@ def order_hash(doc_id: str, text: str) -> list[Column]:
 
 
 def schedule(docs: DataFrame) -> DataFrame:
-    """doc_id, __t, size, source_size, target, taken, positions (array: the time of each copy's start) for stored rows doc_id, source, size, __h, __t."""
+    """__g, doc_id, __h, __t, size, source_size, target, taken, positions (array: the time of each copy's start) for stored rows doc_id, source, size, __h, __t."""
     g = docs.withColumn("__g", group_key("source"))
     sizes = g.groupBy("__g", "source").agg(F.sum("size").alias("size"), F.count("*").alias("docs"))
     sizes = cut(sizes)
@@ -91,7 +92,7 @@ def schedule(docs: DataFrame) -> DataFrame:
     # D(t) / target = b t + slope t^2, whose rising root is 2 x / (b + sqrt(b^2 + 4 slope x)).
     time = lambda u: 2 * share(u) / (b + F.sqrt(b * b + 4 * F.col("slope") * share(u)))
     times = F.filter(F.array(*(F.when(demanded(u) > 0, time(u)) for u in (first, second))), lambda x: x.isNotNull())
-    return placed.select("doc_id", "__h", "__t", "size", "source_size", "target", (demanded(first) + demanded(second)).alias("taken"), times.alias("positions"))
+    return placed.select("__g", "doc_id", "__h", "__t", "size", "source_size", "target", (demanded(first) + demanded(second)).alias("taken"), times.alias("positions"))
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -113,7 +114,11 @@ def mix(df: DataFrame) -> DataFrame:
     """
     names = df.columns
     done = schedule(stage(sized(df), "sizes"))
-    copies = done.select("doc_id", "__h", "__t", "positions").where(F.size("positions") > 0).dropDuplicates(["__h", "__t"])
-    hashed = df.withColumns({"__h": order_hash("doc_id", "text")[0], "__t": order_hash("doc_id", "text")[1]})
-    joined = hashed.join(copies.select("__h", "__t", F.col("positions").alias("__positions")), ["__h", "__t"]).withColumn("__position", F.explode("__positions"))
+    key = ["__g", "__h", "__t"]
+    # Equal rows have equal sizes, so their places are told apart by time alone; maps can't be hashed.
+    copies = done.where(F.size("positions") > 0).withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy("positions")))
+    whole = F.xxhash64(*(F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind))
+    hashed = df.withColumn("__g", group_key("source")).withColumns({"__h": order_hash("doc_id", "text")[0], "__t": order_hash("doc_id", "text")[1]})
+    numbered = hashed.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(whole)))
+    joined = numbered.join(copies.select(*key, "__n", F.col("positions").alias("__positions")), [*key, "__n"]).withColumn("__position", F.explode("__positions"))
     return joined.orderBy("__position", "doc_id").select(*names)

@@ -587,6 +587,16 @@ def test_mixing_copies_and_order(spark, docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_gives_each_repeated_row_its_place(spark):
+    rows = [(None if s < "d" else 7, "x y z", "en", s) for s, n in (("a", 30), ("b", 20), ("c", 50), ("d", 40)) for _ in range(n)]
+    table = documents(spark, rows)
+    want = {}
+    for r in mixing.report(table).collect():
+        want[r["source_size"]] = min(2 * r["source_size"] // 3, math.ceil(round(r["target"]) / 3))
+    got = collections.Counter(r["source"] for r in mixing.mix(table).collect())
+    assert got == {"a": want[90], "b": want[60], "c": want[150], "d": want[120]}
+
+
 def test_curriculum_shares_follow_the_schedule(spark, docs):
     done = mixing.schedule(mixing.sized(docs)).collect()
     for r in done:
