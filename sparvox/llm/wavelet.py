@@ -25,7 +25,7 @@ import os
 import struct
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -209,7 +209,8 @@ class Encoder:
     """The tokenizers library's ids of whole texts, chunks encoded once while cached.
 
     For a tokenizer that has only byte-level pre-tokens before a BPE model and nothing around it, chunks are split by the byte-level
-    pattern and each pre-token goes to the library's model; any other tokenizer gets its chunks whole.
+    pattern and each pre-token goes to the library's model; any other tokenizer gets its chunks whole. Texts that hold an added
+token's content go through the library whole, which gives them that token's id.
     """
 
     def __init__(self, path: str):
@@ -218,7 +219,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
         pre = parts.get("pre_tokenizer") or {}
@@ -229,7 +229,20 @@ class Encoder:
         self.space = self.table[0x20]
         find = regex.compile(PATTERN).findall
         split = (lambda c: letters(c) or find(c)) if straight else (lambda c: [c])
-        self.encode = Chunked(split, self._pretokens if straight else self._whole).encode
+        self.chunked = Chunked(split, self._pretokens if straight else self._whole).encode
+        added = parts.get("added_tokens") or []
+        self.added = [a["content"] for a in added]
+        # What is matched after a normaliser needn't be in the text as it stands.
+        self.always = bool(parts.get("normalizer")) and any(a.get("normalized") for a in added)
+
+    def encode(self, texts: list[str]) -> Iterable[bytes]:
+        odd = [k for k, t in enumerate(texts) if self.always or any(c in t for c in self.added)]
+        if not odd:
+            return self.chunked(texts)
+        rest = set(range(len(texts))).difference(odd)
+        out = dict(zip(odd, self._whole([texts[k] for k in odd])))
+        out |= zip(sorted(rest), self.chunked([texts[k] for k in sorted(rest)]))
+        return [out[k] for k in range(len(texts))]
 
     def _pretokens(self, pretokens: list[str]) -> list[bytes]:
         out, tokenize = [], self.model.tokenize

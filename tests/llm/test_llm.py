@@ -135,6 +135,18 @@ def test_wavelet_encoder_odd_texts():
         assert array.array("I", ids).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_wavelet_encoder_knows_added_tokens():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), wavelet.encoder(path)
+    some = ["a <|endoftext|> b", "plain", "<|endoftext|>", "", "x<|endoftext|><|endoftext|>y\n", "<|endoftext", *ODD]
+    for texts in (some, some[:1], some[1:2]):
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert array.array("I", ids).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert array.array("I", encoder.encode(some)[0]).tolist() == [64, 220, 50256, 275]
+
+
 # MinHash
 
 
