@@ -45,7 +45,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near-dedup", near_dedup), ("source mix", source_mix), ("token ids", encode)]
 
-#: Robust estimation, banded sketches and byte-pair merges can't be expressed in SQL; tests hold run() against brute force.
+#: Robust estimation, banded sketches and byte-pair merges can't be expressed in SQL; test_pipeline_run_equals_brute_force holds run() against brute force.
 ORACLE_SQL = None
 
 

@@ -700,6 +700,75 @@ def test_pipeline_stages(spark, docs, texts, sf):
     assert not failed & {r["doc_id"] for r in now.select("doc_id").collect()}
 
 
+def brute_quality(rows):
+    """Ids of the rows that the base rules and the outlier test accept."""
+    passed, by = {}, collections.defaultdict(list)
+    for r in rows:
+        s = brute_statistics(r["text"])
+        n = s[0]
+        if n >= 50 and 100 * s[4] <= 50 * n:
+            values = [math.log(n), math.log(max(1, s[1]) / n), *(math.log1p(100 * c / n) for c in s[2:])]
+            passed[r["doc_id"]] = [math.floor(abs(quality.SCALE * v) + 0.5) * (1 if v >= 0 else -1) for v in values]
+            for group in ((r["lang"],), (r["lang"], r["source"])):
+                by[group].append(r["doc_id"])
+    distance = {}
+    for group in sorted(by, key=len):
+        if len(by[group]) >= quality.LEAST:
+            distance |= zip(by[group], brute_mcd(np.array([passed[k] for k in by[group]], float)))
+    limit = _chi2.inverse(quality.TAIL, quality.P, upper=True)
+    return {k for k in passed if distance.get(k, 0) <= limit}
+
+
+def brute_lines(rows):
+    pages, count = collections.Counter(r["source"] for r in rows), collections.Counter()
+    for r in rows:
+        count.update((r["source"], line) for line in set(r["text"].split("\n")) if WORD.search(line))
+    gone = {k for k, n in count.items() if n >= lines.PAGES and n > lines.RATIO * pages[k[0]]}
+    return [r | {"text": "\n".join(x for x in r["text"].split("\n") if (r["source"], x) not in gone)} for r in rows]
+
+
+def brute_mix(rows, place):
+    """Each row as often as it is taken; place: the order within a source."""
+    sizes, out = collections.Counter(), []
+    for r in rows:
+        sizes[r["source"]] += len(WORD.findall(r["text"]))
+    want, at = brute_targets(sizes), collections.Counter()
+    for r in sorted(rows, key=lambda r: place[r["doc_id"]]):
+        n, s = len(WORD.findall(r["text"])), r["source"]
+        out += [r for start in (at[s], at[s] + sizes[s]) if n and start < math.floor(want[s] + 0.5)]
+        at[s] += n
+    return out
+
+
+def test_pipeline_run_equals_brute_force(spark, docs, reference_encoding, tmp_path):
+    import corpus_pipeline
+
+    planted = "This line stands on many pages of one site."
+    rows = [r.asDict() for r in docs.orderBy("doc_id").collect()]
+    for r in rows:
+        r["source"] = "abc"[r["doc_id"] % 3]
+        if r["source"] == "a" and r["doc_id"] % 2 and r["text"]:
+            r["text"] += "\n" + planted
+    spark.createDataFrame(rows, docs.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    good = brute_quality(rows)
+    assert {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, table, str(tmp_path)).collect()} == good
+    kept = brute_lines([r for r in rows if r["doc_id"] in good])
+    assert any(planted in r["text"] for r in rows if r["doc_id"] in good) and not any(planted in r["text"] for r in kept)
+    root = brute_components({r["doc_id"]: shingle_set(r["text"]) for r in kept}, 80)
+    single = [r for r in kept if root[r["doc_id"]] == r["doc_id"]]
+    assert 0 < len(single) < len(kept) < len(rows)
+    place = {r["doc_id"]: r["h"] for r in table.select("doc_id", mixing.order_hash("doc_id", "text")[0].alias("h")).collect()}
+    want = collections.Counter()
+    for r in brute_mix(single, place):
+        ids = reference_encoding.encode_ordinary(r["text"])
+        raw = np.array(ids, "<u4").tobytes()
+        want[r["doc_id"], len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(r["text"].encode()).hexdigest(), raw] += 1
+    got = collections.Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], bytes(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want and sum(want.values()) > len(single) / 2
+
+
 def test_registered_queries():
     import __spark_entry__
 
