@@ -13,8 +13,8 @@ nearest on until COVER of the group is reached. Vectors are rounded to 1/1024, a
 don't depend on the order of rows or partitions. The variance of each component has a floor (FLOORS), as many groups have no symbols or repeats
 at all in their closest documents; it also keeps the scatter invertible.
 
-A group of fewer than LEAST documents takes the estimate of its language over all sources; if that has too few as well, the
-method rejects nothing there.
+A group of fewer than least documents (by default ten for each component, a usual least number for a scatter matrix) takes the estimate of
+its language over all sources; where that has too few as well, that of all documents, however few these are.
 
 Everything is DataFrame expressions. Documents meet estimates (one small row for each group) by a broadcast only if the groups have
 been counted to be few, else by a salted join, so a hot source is no hot task.
@@ -40,10 +40,11 @@ SCALE = 1024
 STEPS = 4
 COVER = 0.75
 TAIL = 1e-6
-LEAST = 50
 #: Least standard deviation of each component.
 FLOORS = (0.5, 0.1, 0.5, 0.5, 1.0)
 P = len(FLOORS)
+#: Documents that a group must have for an estimate of its own, unless a caller says otherwise.
+LEAST = 10 * P
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 BUCKETS = 8
 
@@ -53,10 +54,10 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def repeated_words(words: str) -> Column:
-    """Words in three-word windows that occur at least twice, the first occurrence included.
+def repeated_words(words: Column) -> Column:
+    """Words in three-word windows that occur at least twice, the first occurrence included. words: an array that is at hand, as a variable of let is.
 
-    Windows are 64-bit hashes. Each is packed with its place into one number (as many low bits as places need), so that sorting
+    An expression would be computed anew for every window, and so would a column whose definition the optimiser may put in its place. Windows are 64-bit hashes. Each is packed with its place into one number (as many low bits as places need), so that sorting
     numbers brings equal windows together; neighbours are then compared by their full hashes.
     """
     last = F.size(words) - 3
@@ -95,7 +96,7 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         F.length(F.regexp_replace("__text", SPACE, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("__text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_words("__words").alias("n_repeat_words"),
+        let(F.col("__words"), repeated_words).alias("n_repeat_words"),
     )
     return t.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
@@ -164,10 +165,14 @@ def spread() -> Column:
     return F.struct(*(F.col(f"x{i}") for i in range(P)))
 
 
+#: The group of all documents.
+EVERY = "every"
+
+
 def fit(stats: DataFrame) -> DataFrame:
     """The estimate of each group: g, its n, centre, factor. stats: a stored table of lang, source and the base statistics."""
     passed = stats.where("NOT base_failed").select(group_key("lang", "source").alias("own"), group_key("lang").alias("wide"), *vector())
-    x = passed.select(F.explode(F.array(F.concat(F.lit("own"), "own"), F.concat(F.lit("all"), "wide"))).alias("g"), *(f"x{i}" for i in range(P)))
+    x = passed.select(F.explode(F.array(F.concat(F.lit("own"), "own"), F.concat(F.lit("all"), "wide"), F.lit(EVERY))).alias("g"), *(f"x{i}" for i in range(P)))
     x = stage(x, "vectors")
 
     medians = cut(x.groupBy("g").agg(F.count("*").alias("n"), *(F.expr(f"percentile(x{i}, 0.5)").alias(f"m{i}") for i in range(P))))
@@ -204,30 +209,29 @@ def fit(stats: DataFrame) -> DataFrame:
     return cut(final.drop("n").join(sizes.withColumnRenamed("size", "n"), "g"))
 
 
-def judge(df: DataFrame, estimates: DataFrame) -> DataFrame:
-    """df, which has lang, source and the base statistics, with distance (null where no estimate applies) and kept."""
+def judge(df: DataFrame, estimates: DataFrame, least: int = LEAST) -> DataFrame:
+    """df, which has lang, source and the base statistics, with distance (null if base_failed) and kept."""
     names = df.columns
-    e = estimates.where(F.col("n") >= LEAST)
+    e = estimates.where((F.col("n") >= least) | (F.col("g") == EVERY))
     fields = [c for c in e.columns if c != "g"]
-    keyed = df.withColumn("__own", F.concat(F.lit("own"), group_key("lang", "source"))).withColumn("__all", F.concat(F.lit("all"), group_key("lang")))
-    both = keyed
-    for key in ("__own", "__all"):
+    both = df.withColumns({"__own": F.concat(F.lit("own"), group_key("lang", "source")), "__all": F.concat(F.lit("all"), group_key("lang")), "__every": F.lit(EVERY)})
+    for key in ("__own", "__all", "__every"):
         both = attach(both, e.select(F.col("g").alias(key), F.struct(*fields).alias(f"{key}_e")), key, F.struct("n_words", "word_chars"))
-    x = both.select(*names, *vector(), F.coalesce("__own_e", "__all_e").alias("e")).select(*names, *(f"x{i}" for i in range(P)), "e.*")
+    x = both.select(*names, *vector(), F.coalesce("__own_e", "__all_e", "__every_e").alias("e")).select(*names, *(f"x{i}" for i in range(P)), "e.*")
     limit = _chi2.inverse(TAIL, P, upper=True)
     judged = with_distance(x)
-    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(True))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(False))
     return judged.select(*names, kept.alias("kept"), F.when(~F.col("base_failed"), F.col("d2")).alias("distance"))
 
 
-def report(df: DataFrame) -> DataFrame:
+def report(df: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, the base statistics, base_failed, kept, distance."""
     stats = stage(with_statistics(df.select("doc_id", "lang", "source", "text")).drop("text"), "statistics")
-    return judge(stats, fit(stats)).select("doc_id", *STATISTICS, "base_failed", "kept", "distance")
+    return judge(stats, fit(stats), least).select("doc_id", *STATISTICS, "base_failed", "kept", "distance")
 
 
-def keep_good(df: DataFrame) -> DataFrame:
-    """df without the documents that the rules reject; columns as they were."""
-    stats = stage(with_statistics(df.select("lang", "source", "text")).drop("text"), "statistics")
+def keep_good(df: DataFrame, least: int = LEAST) -> DataFrame:
+    """df without the documents that the rules reject; columns as they were. Rows are stored with their statistics, which are computed once."""
     rows = df.select(F.struct(*df.columns).alias("__row"), "lang", "source", "text")  # whatever df's other columns are called
-    return judge(with_statistics(rows).drop("text"), fit(stats)).where("kept").select("__row.*")
+    stats = stage(with_statistics(rows).drop("text"), "statistics")
+    return judge(stats, fit(stats), least).where("kept").select("__row.*")

@@ -12,6 +12,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -518,13 +519,12 @@ def test_quality_distances_equal_brute_force(spark):
         return [math.floor(abs(quality.SCALE * v) + 0.5) * (1 if v >= 0 else -1) for v in values]
 
     want, limit = {}, _chi2.inverse(quality.TAIL, quality.P, upper=True)
-    for wide in (True, False):
+    for level in range(3):
         by = collections.defaultdict(list)
         for r in passed:
-            g = groups[r["doc_id"]]
-            by[g[:1] if wide else g].append(r)
+            by[groups[r["doc_id"]][:level]].append(r)
         for members in by.values():
-            if len(members) >= quality.LEAST:
+            if len(members) >= quality.LEAST or not level:
                 want |= {r["doc_id"]: d for r, d in zip(members, brute_mcd(np.array([vector(r) for r in members], float)))}
     for r in rows:
         if r["base_failed"]:
@@ -544,6 +544,27 @@ def test_quality_odd_tables(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n", "rank"] and [r["doc_id"] for r in kept.collect()] == [2]
 
 
+def test_quality_splits_a_text_a_bounded_number_of_times(docs):
+    stand_in = docs.sparkSession.createDataFrame([("every", 1, *[0.0] * 5, *[1.0] * 15, 0.0)], ["g", "n", *(f"m{i}" for i in range(5)), *(f"l{i}_{j}" for i, j in quality.PAIRS), "logdet"])
+    judged = quality.judge(quality.with_statistics(docs), stand_in).where("kept")
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("split(") < 12
+    began = time.monotonic()
+    assert judged.count() >= 0
+    assert time.monotonic() - began < 20
+
+
+def test_quality_small_groups_take_wider_estimates(spark):
+    rng = random.Random(8)
+    text = lambda n, width: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, width))) for _ in range(n))
+    rows = [(k, text(rng.randrange(80, 120), 9), "en", f"s{k % 2}") for k in range(30)] + [(100, "#$% " * 20 + text(80, 9) + " |&<>" * 30, "fr", "t"), (101, text(100, 9), None, None)]
+    got = {r["doc_id"]: r for r in quality.report(documents(spark, rows)).collect()}
+    assert all(r["distance"] is not None for r in got.values())
+    assert not got[100]["kept"] and got[101]["kept"]
+    alone = quality.report(documents(spark, rows), least=16).collect()
+    assert sum(r["kept"] for r in alone) >= 30
+
+
 # Mixing
 
 
@@ -709,11 +730,11 @@ def brute_quality(rows):
         if n >= 50 and 100 * s[4] <= 50 * n:
             values = [math.log(n), math.log(max(1, s[1]) / n), *(math.log1p(100 * c / n) for c in s[2:])]
             passed[r["doc_id"]] = [math.floor(abs(quality.SCALE * v) + 0.5) * (1 if v >= 0 else -1) for v in values]
-            for group in ((r["lang"],), (r["lang"], r["source"])):
+            for group in ((), (r["lang"],), (r["lang"], r["source"])):
                 by[group].append(r["doc_id"])
     distance = {}
     for group in sorted(by, key=len):
-        if len(by[group]) >= quality.LEAST:
+        if len(by[group]) >= quality.LEAST or not group:
             distance |= zip(by[group], brute_mcd(np.array([passed[k] for k in by[group]], float)))
     limit = _chi2.inverse(quality.TAIL, quality.P, upper=True)
     return {k for k in passed if distance.get(k, 0) <= limit}
