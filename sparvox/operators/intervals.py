@@ -116,53 +116,67 @@ def unmasked(unions: DataFrame, collar: float) -> DataFrame:
         return unions
     masks = unions.where("side = 0").select("clip", F.explode(F.array("start", "end")).alias("x"))
     masks = islands(masks.select("clip", (F.col("x") - collar).alias("start"), (F.col("x") + collar).alias("end")), ["clip"], F.col("start") > F.col("reached"))
-    # The open stretches between a clip's masks, from and to infinity.
+    # The open stretches between a clip's masks, from and to times beyond all of its speech.
     w = Window.partitionBy("clip").orderBy("start")
-    after = masks.select("clip", F.col("end").alias("a"), F.coalesce(F.lead("start").over(w), F.lit(float("inf"))).alias("b"))
-    before = masks.groupBy("clip").agg(F.min("start").alias("b")).select("clip", F.lit(float("-inf")).alias("a"), "b")
-    gaps = after.union(before)
-    cut = unions.join(gaps, "clip", "left").where("a IS NULL OR (start < b AND a < end)")
-    cut = cut.withColumn("start", F.greatest("start", F.coalesce("a", F.lit(float("-inf"))))).withColumn("end", F.least("end", F.coalesce("b", F.lit(float("inf")))))
-    return cut.where("end > start").drop("a", "b")
+    spans = unions.groupBy("clip").agg(F.min("start").alias("first"), F.max("end").alias("last"))
+    masks = masks.join(spans, "clip").select("clip", "start", F.col("end").alias("a"), F.coalesce(F.lead("start").over(w), F.greatest("last", "end") + 1).alias("b"), "first")
+    before = masks.groupBy("clip").agg(F.min("start").alias("b"), F.first("first").alias("first")).select("clip", (F.least("first", "b") - 1).alias("a"), "b")
+    gaps = masks.select("clip", "a", "b").union(before).where("b > a")
+    masked = unions.join(masks.select("clip").distinct(), "clip", "left_semi")
+    open_ = meeting(masked.select("clip", F.col("start").alias("s"), F.col("end").alias("e"), F.struct("side", "speaker").alias("who")), gaps.select("clip", F.col("a").alias("s"), F.col("b").alias("e"), F.lit(0).alias("gap")))
+    inside = open_.select("clip", "who.side", "who.speaker", F.greatest("ls", "rs").alias("start"), F.least("le", "re").alias("end"))
+    return unions.join(masks.select("clip").distinct(), "clip", "left_anti").select("clip", "side", "speaker", "start", "end").unionByName(inside)
+
+
+def meeting(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every pair of intervals (clip, s, e and one more column each) of one clip that overlap: clip, ls, le, rs, re and the other columns.
+
+    Intervals meet by bins of time within their clip, as wide as a clip's intervals are long on average, so what is compared grows with what
+    meets and a clip is shared by many tasks. A pair counts in the bin where its overlap begins. All intervals must have a length.
+    """
+    length = F.col("e") - F.col("s")
+    widths = left.select("clip", "s", "e").union(right.select("clip", "s", "e")).groupBy("clip").agg((2 * F.avg(length)).alias("width"))
+
+    def binned(side: DataFrame, prefix: str) -> DataFrame:
+        named = side.withColumnsRenamed({"s": f"{prefix}s", "e": f"{prefix}e"}).join(widths, "clip")
+        at = lambda c: F.floor(F.col(c) / F.col("width"))
+        return named.withColumn("bin", F.explode(F.sequence(at(f"{prefix}s"), at(f"{prefix}e"))))
+
+    both = binned(left, "l").join(binned(right, "r").drop("width"), ["clip", "bin"]).where("ls < re AND rs < le")
+    return both.where(F.col("bin") == F.floor(F.greatest("ls", "rs") / F.col("width"))).drop("bin", "width")
 
 
 def overlaps(unions: DataFrame) -> DataFrame:
-    """clip, reference, hypothesis, seconds: time together of every pair of speakers that meet, by a range join within the clip."""
-    r = unions.where("side = 0").select("clip", F.col("speaker").alias("reference"), F.col("start").alias("rs"), F.col("end").alias("re"))
-    h = unions.where("side = 1").select("clip", F.col("speaker").alias("hypothesis"), F.col("start").alias("hs"), F.col("end").alias("he"))
-    met = r.join(h, "clip").where("rs < he AND hs < re")
-    return met.groupBy("clip", "reference", "hypothesis").agg(F.sum(F.least("re", "he") - F.greatest("rs", "hs")).alias("seconds"))
+    """clip, reference, hypothesis, seconds: time together of every pair of speakers that meet."""
+    side = lambda k, name: unions.where(F.col("side") == k).select("clip", F.col("start").alias("s"), F.col("end").alias("e"), F.col("speaker").alias(name))
+    met = meeting(side(0, "reference"), side(1, "hypothesis"))
+    return met.groupBy("clip", "reference", "hypothesis").agg(F.sum(F.least("le", "re") - F.greatest("ls", "rs")).alias("seconds"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows by clip over all tasks: what is done with a clip is costly beside its rows, so few small partitions would keep cores idle."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "clip")
 
 
 def _best(pairs: pa.Array) -> pa.Array:
     """The largest total of a one-to-one choice among (reference, hypothesis, seconds)."""
     from sparvox.functions import kernels
 
-    out = []
-    for found in pairs.to_pylist():
-        rows = sorted({p["reference"] for p in found or ()})
-        columns = sorted({p["hypothesis"] for p in found or ()})
-        matrix = [[0.0] * len(columns) for _ in rows]
-        for p in found or ():
-            matrix[rows.index(p["reference"])][columns.index(p["hypothesis"])] = p["seconds"]
-        out.append(sum(matrix[i][j] for i, j in kernels.assign(matrix, maximize=True)))
-    return pa.array(out, pa.float64())
+    found = ([(p["reference"], p["hypothesis"], p["seconds"]) for p in x or ()] for x in pairs.to_pylist())
+    return pa.array([math.fsum(p[2] for p in kernels.best_matches(x)) for x in found], pa.float64())
 
 
 def _reference_errors(found: pa.Array) -> pa.Array:
-    """Sum of Jaccard errors of the reference speakers under the best assignment."""
+    """Sum of Jaccard errors of the reference speakers under the best assignment: 1 for whom nobody is left or met."""
     from sparvox.functions import kernels
 
     out = []
     for x in found.to_pylist():
         rows = {p["speaker"]: p["seconds"] for p in x["r"] or ()}
         columns = {p["speaker"]: p["seconds"] for p in x["h"] or ()}
-        met = {(p["reference"], p["hypothesis"]): p["seconds"] for p in x["o"] or ()}
-        costs = [[1 - (o := met.get((r, h), 0.0)) / (a + b - o) for h, b in sorted(columns.items())] for r, a in sorted(rows.items())]
-        errors = [1.0] * len(rows)
-        for i, j in kernels.assign(costs):
-            errors[i] = costs[i][j]
-        out.append(sum(errors))
+        shares = [(p["reference"], p["hypothesis"], (o := p["seconds"]) / (rows[p["reference"]] + columns[p["hypothesis"]] - o)) for p in x["o"] or ()]
+        chosen = kernels.best_matches(shares)
+        out.append(math.fsum([len(rows) - len(chosen), *(1 - p[2] for p in chosen)]))
     return pa.array(out, pa.float64())
 
 
@@ -172,7 +186,7 @@ def der(timelines: DataFrame, collar: float = 0.0, duration: Column | float | No
     if duration is not None:
         timelines = clipped(timelines, duration)
     parts = clips.join(der_parts(timelines, collar), "clip", "left").fillna(0.0)
-    matrix = overlaps(unmasked(canonical_union(timelines), collar)).groupBy("clip").agg(F.collect_list(F.struct("reference", "hypothesis", "seconds")).alias("pairs"))
+    matrix = spread(overlaps(unmasked(canonical_union(timelines), collar))).groupBy("clip").agg(F.collect_list(F.struct("reference", "hypothesis", "seconds")).alias("pairs"))
     best = matrix.select("clip", F.arrow_udf(_best, "double")("pairs").alias("best"))
     out = parts.join(best, "clip", "left").withColumn("confusion", F.greatest(F.lit(0.0), F.col("common") - F.coalesce("best", F.lit(0.0))))
     errors = F.col("missed") + F.col("false_alarm") + F.col("confusion")
@@ -186,7 +200,7 @@ def jer(timelines: DataFrame, duration: Column | float | None = None) -> DataFra
     lengths = unions.groupBy("clip", "side", "speaker").agg(F.sum(F.col("end") - F.col("start")).alias("seconds"))
     side = lambda k: F.collect_list(F.when(F.col("side") == k, F.struct("speaker", "seconds")))
     sides = lengths.groupBy("clip").agg(side(0).alias("r"), side(1).alias("h"))
-    met = overlaps(unions).groupBy("clip").agg(F.collect_list(F.struct("reference", "hypothesis", "seconds")).alias("o"))
+    met = spread(overlaps(unions)).groupBy("clip").agg(F.collect_list(F.struct("reference", "hypothesis", "seconds")).alias("o"))
     scored = clips.join(sides, "clip", "left").join(met, "clip", "left").select("clip", F.struct("r", "h", "o").alias("x"))
     done = scored.select("clip", F.arrow_udf(_reference_errors, "double")("x").alias("error_sum"), F.coalesce(F.size("x.r"), F.lit(0)).alias("n"))
     n = F.greatest(F.col("n"), F.lit(0)).cast("long")

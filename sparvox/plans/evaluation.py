@@ -47,6 +47,12 @@ def successive(docs: DataFrame) -> DataFrame:
     return ids.join(r, "doc_id").join(h, "next_id").withColumnRenamed("lang", "language")
 
 
+def followers(df: DataFrame, key: str) -> DataFrame:
+    """key, next_id: each id with the one after it. The window that has no partition moves ids only; what belongs to them is joined."""
+    ids = df.select(key)
+    return ids.select(key, F.lead(key).over(Window.orderBy(key)).alias("next_id")).where("next_id IS NOT NULL")
+
+
 @query()
 def wer_micro_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Micro-averaged word error rate by language, over whole texts."""
@@ -78,9 +84,7 @@ def event_sequence_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token error rate of each user's event sequence against the next user's."""
     events = table(spark, sf_dir, "events")
     seqs = events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda e: e["event_type"]).alias("r"))
-    # users are few beside events; the window runs over one row for each
-    order = Window.orderBy("user_id")
-    pairs = seqs.withColumn("h", F.lead("r").over(order)).where("h IS NOT NULL")
+    pairs = seqs.join(followers(seqs, "user_id"), "user_id").join(seqs.select(F.col("user_id").alias("next_id"), F.col("r").alias("h")), "next_id")
     scored = scoring.distances(pairs, F.col("r"), F.col("h"))
     return scored.select("user_id", "numerator", "denominator", text.rate(F.col("numerator"), F.col("denominator")).alias("value"))
 
@@ -94,7 +98,8 @@ def cer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character edits between successive benchmark texts, in ASCII."""
     items = table(spark, sf_dir, "benchmark")
     r = F.regexp_replace(F.regexp_replace(F.lower("text"), r"[^\x00-\x7F]", "?"), r"\s", "")
-    pairs = items.select("item_id", r.alias("r")).withColumn("h", F.lead("r").over(Window.orderBy("item_id"))).where("h IS NOT NULL")
+    texts = items.select("item_id", r.alias("r"))
+    pairs = texts.join(followers(items, "item_id"), "item_id").join(texts.select(F.col("item_id").alias("next_id"), F.col("r").alias("h")), "next_id")
     return pairs.select("item_id", F.levenshtein("r", "h").cast("long").alias("numerator"), F.length("r").cast("long").alias("denominator"))
 
 
