@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparvox.llm._texts import Chunked, letters
+from sparvox.llm._texts import Chunked
 from sparvox.runtime import workers_see_package
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -97,7 +97,9 @@ class Codec:
         self.space = self.table[0x20]
         #: Tokens by the characters of their bytes.
         self.whole = {t.decode("latin-1").translate(self.table): struct.pack("<I", r) for t, r in ranks.items()}
-        self.texts = Chunked(self._split, self._encode_pretokens)
+        known = pattern == PATTERN
+        #: Only the known pattern is sure to have a match's edge wherever texts are cut.
+        self.texts = Chunked(self.find, self._encode_pretokens).encode if known else lambda texts: map(b"".join, map(self._encode_pretokens, map(self.find, texts)))
 
     def _piece(self, pretoken: str) -> str:
         """The pre-token's bytes as the characters that pieces are made of."""
@@ -105,10 +107,6 @@ class Codec:
             return pretoken.replace(" ", self.space)
         return pretoken.encode("utf-8", "replace").decode("latin-1").translate(self.table)
 
-    def _split(self, chunk: str) -> list[str]:
-        """The pattern's matches."""
-        return letters(chunk) or self.find(chunk)
-
     def _encode_pretokens(self, pretokens: list[str]) -> list[bytes]:
         """Ids of each pre-token, each encoded by itself; a pre-token that is a token is that token."""
         pieces = list(map(self._piece, pretokens))
@@ -120,7 +118,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers."""
-        return list(self.texts.encode(texts))
+        return list(self.texts(texts))
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes whose encoding the ids are: the inverse of the vocabulary's mapping, token by token."""

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparvox.llm._texts import Chunked, letters
+from sparvox.llm._texts import Chunked
 from sparvox.llm.byte_bpe import PATTERN, byte_characters
 from sparvox.runtime import cut, shared_path, workers_see_package
 
@@ -228,8 +228,8 @@ token's content go through the library whole, which gives them that token's id.
         self.table = dict(enumerate(byte_characters()))
         self.space = self.table[0x20]
         find = regex.compile(PATTERN).findall
-        split = (lambda c: letters(c) or find(c)) if straight else (lambda c: [c])
-        self.chunked = Chunked(split, self._pretokens if straight else self._whole).encode
+        split = find if straight else (lambda c: [c])
+        self.chunked = Chunked(split, self._pretokens if straight else self._whole, words=straight).encode
         added = parts.get("added_tokens") or []
         self.added = [a["content"] for a in added]
         # What is matched after a normaliser needn't be in the text as it stands.
@@ -245,12 +245,10 @@ token's content go through the library whole, which gives them that token's id.
         return [out[k] for k in range(len(texts))]
 
     def _pretokens(self, pretokens: list[str]) -> list[bytes]:
-        out, tokenize = [], self.model.tokenize
-        for p in pretokens:
-            plain = p.isascii() and p.isprintable()
-            piece = p.replace(" ", self.space) if plain else p.encode("utf-8", "replace").decode("latin-1").translate(self.table)
-            out.append(array("I", [t.id for t in tokenize(piece)]).tobytes())
-        return out
+        tokenize, table = self.model.tokenize, self.table
+        mapped = [p if p.isascii() and p.isprintable() else p.encode("utf-8", "replace").decode("latin-1").translate(table) for p in pretokens]
+        pieces = "\n".join(mapped).replace(" ", self.space).split("\n") if mapped else []  # no piece holds a line feed
+        return [array("I", [t.id for t in tokenize(p)]).tobytes() for p in pieces]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
