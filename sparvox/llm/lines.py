@@ -1,7 +1,8 @@
 """Line dedup by site-relative frequency.
 
-For every host the share of its pages that hold a line is the line's ratio; a line on more than RATIO of them, and on at
-least PAGES, is boilerplate there and leaves all pages of that host, every occurrence. Other hosts keep it.
+For every host the share of its pages that hold a line is the line's ratio; a line on more than ratio of them, and on at
+least a number of pages, is boilerplate there and leaves all pages of that host, every occurrence. Other hosts keep it. Without that least
+number a host of one page would lose all of its lines, and any host of fewer than 1 / ratio pages every line.
 
 A page counts once for a line, however often it has it. Pages per (host, line) are summed before they are shuffled, so a
 host with a third of all pages is no hot spot. A host has at most (lines per page) / RATIO boilerplate lines, which go with it
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 from sparvox.llm._joins import attach, group_key
 from sparvox.runtime import cut
 
-RATIO = 0.1
+#: Menus, notices and licence lines stand on some per cent of a site's pages; what an author wrote hardly comes twice.
+RATIO = 0.02
+#: Pages that must hold a line before its ratio counts.
 PAGES = 5
 INK = r"[^\x20\x09-\x0D]"
 
@@ -36,7 +39,7 @@ def boilerplate(df: DataFrame, host: str, text: str, *, ratio: float = RATIO, pa
 
 
 def drop_boilerplate(df: DataFrame, *, host: str, text: str = "text", ratio: float = RATIO, pages: int = PAGES, counts: bool = False) -> DataFrame:
-    """df with text rid of its host's boilerplate lines; counts adds n_lines and n_dropped (long)."""
+    """df with text rid of its host's boilerplate lines; counts adds n_lines and n_dropped (long), in place of columns of these names."""
     marks = cut(boilerplate(df, host, text, ratio=ratio, pages=pages))
     names = df.columns
     joined = attach(df.withColumn("__host", group_key(host)), marks, "__host", F.col(text))
@@ -52,7 +55,7 @@ def drop_boilerplate(df: DataFrame, *, host: str, text: str = "text", ratio: flo
     n = F.coalesce(F.size("__lines"), F.lit(0))
     n = F.when(F.col("__lines").isNull(), 0).otherwise(n).cast("long")
     dropped = F.when(F.col("__kept").isNull(), 0).otherwise(F.size("__lines") - F.size("__kept")).cast("long")
-    return done.select(*names, n.alias("n_lines"), dropped.alias("n_dropped"))
+    return done.select(*(c for c in names if c not in ("n_lines", "n_dropped")), n.alias("n_lines"), dropped.alias("n_dropped"))
 
 
 def report(df: DataFrame) -> DataFrame:
