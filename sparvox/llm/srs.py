@@ -6,11 +6,12 @@ next projected distance r is such that anything still unseen and nearer than the
 with probability CERTAIN: P(chi-square <= r^2 / d^2) >= CERTAIN.
 
 The kd-tree is spread over tasks. Its upper levels are fitted on a bounded sample (SAMPLE vectors, those with the smallest hash of their ids) so
-that cells have about CELL vectors; every vector is put in its cell, and a cell that has more (say, of copies) in several blocks by
-hash. A task builds the lower levels of a block's tree and streams queries over it. A query first visits its own cell; what it finds there
+that cells have about CELL vectors, but at least FITTED of the sample, which bounds what every task knows of them; every vector is put in its
+cell, and a cell that has more than CELL (say, of copies, or of a very large table) in several blocks by hash. A task builds the lower levels of a block's tree and streams queries over it. A query first visits its own cell; what it finds there
 gives d, and only the cells that come within r of its projection are visited then. Each block returns at most K.
 
-Nearness is the cosine of the original vectors in double precision; for unit vectors that is the same order as distance.
+Nearness is the cosine of the original vectors in double precision; for unit vectors that is the same order as distance. Vectors are first
+scaled by a power of two to a largest component between 1/2 and 1: that changes no digit, and no square over- or underflows.
 
 Defined results: vectors that are null, zero, hold nulls or non-finite components, or have another length than most have (ties: the longer) take no part, nor do
 rows with a null id; ties go to the smaller id; repeated rows are candidates each, but never for a query of their own id; a query that
@@ -29,11 +30,12 @@ from pyspark.sql import functions as F
 from sparvox.llm import _chi2
 from sparvox.runtime import cut, stage, workers_see_package
 
-M = 8
+M = 16
 K = 5
-CERTAIN = 0.97
+CERTAIN = 0.95
 SAMPLE = 20_000
-CELL = 20_000
+FITTED = 8
+CELL = 5_000
 LEAF = 128
 
 
@@ -53,6 +55,7 @@ def project_batches(batches: Iterator[pa.RecordBatch], size: int, m: int) -> Ite
     for batch in batches:
         keep = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if i is not None and v is not None and len(v) == size and None not in v]
         v = np.array([v for _, v in keep], np.float64).reshape(-1, size)
+        v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, initial=0.0))[1][:, None])
         n = norms(v)
         good = np.isfinite(v).all(axis=1) & np.isfinite(n) & (n > 0)
         ids, v = np.array([i for i, _ in keep], np.int64)[good], v[good]
@@ -189,14 +192,14 @@ def nearest(df: DataFrame, queries: Column, *, vec_id: str = "vec_id", vector: s
     points = stage(rows.select("vec_id", "vector").mapInArrow(project, "row long, vec_id long, vector binary, point binary"), "points")
     count = points.count()
     sample = [np.frombuffer(r["point"]) for r in points.select("vec_id", "point").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("point").collect()]
-    cells = Cells(np.array(sample).reshape(-1, m), -(-count // CELL), m)
+    cells = Cells(np.array(sample).reshape(-1, m), min(-(-count // CELL), SAMPLE // FITTED), m)
 
     def cell_of(values: pa.Array) -> pa.Array:
         return pa.array(cells.of(np.frombuffer(b"".join(values.to_pylist())).reshape(-1, m)), pa.int64())
 
     placed = stage(points.withColumn("cell", F.arrow_udf(cell_of, "long")("point")), "cells")
     blocks = cut(placed.groupBy("cell").agg(F.ceil(F.count("*") / CELL).alias("blocks")))
-    small = F.broadcast(blocks)  # a row for each cell: at most 2 * count / CELL of them
+    small = F.broadcast(blocks)  # a row for each cell: at most 2 * SAMPLE / FITTED of them
     data = placed.join(small, "cell").withColumn("block", F.pmod(F.xxhash64("row"), "blocks")).select("cell", "block", F.lit(0).alias("role"), "row", "vec_id", "vector", "point", F.lit(0.0).alias("bound"))
     asked = rows.where(F.col("asked") & F.col("vec_id").isNotNull()).select("vec_id").distinct()
     asking = placed.join(asked, "vec_id", "left_semi").select("cell", "row", "vec_id", "vector", "point")
