@@ -17,9 +17,9 @@ first, running over a source's slices, then within a slice. Slices hold about SL
 places don't depend on how many there are. Only tables with a row for each source go through one task.
 
 Defined results: null text has size 0; documents without words take no part (taken 0, no position); a null source is a source; ties
-in the hash are ordered by doc_id, then text hash; repeated rows each count, and in mix() each has its own place: equal rows of a
-source get their places in the order of a hash of all their columns; empty tables give empty results; a doc_id that is
-null hashes like any other value. Extra columns of df stay in mix().
+in the hash are ordered by doc_id, text hash and a hash of the other columns; repeated rows each count and each has its own place, so
+rows that are equal throughout are taken as often as their places are, whichever is which; empty tables give empty results; a doc_id that is
+null hashes like any other value. Extra columns of df stay in mix(); those that hold maps play no part in the order.
 """
 
 from __future__ import annotations
@@ -64,12 +64,24 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def order_hash(doc_id: str, text: str) -> list[Column]:
-    return [F.xxhash64(F.lit(20250101), F.col(doc_id)).alias("__h"), F.xxhash64(F.col(text)).alias("__t")]
+    """The place of a row in its source (of id and text, so that rows without or with one id are spread as well), and what tells ties apart."""
+    mark = F.xxhash64(F.col(text))
+    return [F.xxhash64(F.lit(20250101), F.col(doc_id), mark).alias("__h"), mark.alias("__t")]
+
+
+KEY = ["__g", "__h", "__t", "__w"]
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """df with KEY: source, order hashes, and a hash of all other columns that can be hashed."""
+    rest = [F.col(f"`{c}`") for c, kind in df.dtypes if c not in ("doc_id", "text", "source") and "map<" not in kind and "variant" not in kind]
+    h, t = order_hash("doc_id", "text")
+    return df.withColumns({"__g": group_key("source"), "__h": h, "__t": t, "__w": F.xxhash64(*rest) if rest else F.lit(0).cast("long")})
 
 
 def schedule(docs: DataFrame) -> DataFrame:
-    """__g, doc_id, __h, __t, size, source_size, target, taken, positions (array: the time of each copy's start) for stored rows doc_id, source, size, __h, __t."""
-    g = docs.withColumn("__g", group_key("source"))
+    """KEY, doc_id, size, source_size, target, taken, positions (array: the time of each copy's start) for stored rows doc_id, source, size, KEY."""
+    g = docs
     sizes = g.groupBy("__g", "source").agg(F.sum("size").alias("size"), F.count("*").alias("docs"))
     sizes = cut(sizes)
     wanted = cut(targets(sizes.select("source", "size")).withColumn("__g", group_key("source")).withColumnRenamed("size", "source_size"))
@@ -81,7 +93,7 @@ def schedule(docs: DataFrame) -> DataFrame:
     parts = rows.groupBy("__g", "__slice").agg(F.sum("size").alias("in_slice"))
     running = Window.partitionBy("__g").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("__g", "__slice", F.coalesce(F.sum("in_slice").over(running), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("__g", "__slice").orderBy("__h", "doc_id", "__t").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__g", "__slice").orderBy("__h", "doc_id", "__t", "__w").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["__g", "__slice"])
     first = F.col("before") + F.col("within")
     second = first + F.col("source_size")
@@ -92,12 +104,12 @@ def schedule(docs: DataFrame) -> DataFrame:
     # D(t) / target = b t + slope t^2, whose rising root is 2 x / (b + sqrt(b^2 + 4 slope x)).
     time = lambda u: 2 * share(u) / (b + F.sqrt(b * b + 4 * F.col("slope") * share(u)))
     times = F.filter(F.array(*(F.when(demanded(u) > 0, time(u)) for u in (first, second))), lambda x: x.isNotNull())
-    return placed.select("__g", "doc_id", "__h", "__t", "size", "source_size", "target", (demanded(first) + demanded(second)).alias("taken"), times.alias("positions"))
+    return placed.select(*KEY, "doc_id", "size", "source_size", "target", (demanded(first) + demanded(second)).alias("taken"), times.alias("positions"))
 
 
 def sized(df: DataFrame) -> DataFrame:
     n = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    return df.select("doc_id", "source", n.alias("size"), *order_hash("doc_id", "text"))
+    return keyed(df).select("doc_id", "source", n.alias("size"), *KEY)
 
 
 def report(df: DataFrame) -> DataFrame:
@@ -112,13 +124,8 @@ def mix(df: DataFrame) -> DataFrame:
 
     A copy that starts before its source's target is there whole; a document of which nothing is taken is not.
     """
-    names = df.columns
     done = schedule(stage(sized(df), "sizes"))
-    key = ["__g", "__h", "__t"]
-    # Equal rows have equal sizes, so their places are told apart by time alone; maps can't be hashed.
-    copies = done.where(F.size("positions") > 0).withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy("positions")))
-    whole = F.xxhash64(*(F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind))
-    hashed = df.withColumn("__g", group_key("source")).withColumns({"__h": order_hash("doc_id", "text")[0], "__t": order_hash("doc_id", "text")[1]})
-    numbered = hashed.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(whole)))
-    joined = numbered.join(copies.select(*key, "__n", F.col("positions").alias("__positions")), [*key, "__n"]).withColumn("__position", F.explode("__positions"))
-    return joined.orderBy("__position", "doc_id").select(*names)
+    copies = done.select(*KEY, F.explode("positions").alias("__position"))
+    # Of rows that are equal throughout one goes to all of their places, so they needn't be numbered; texts are shuffled once for this, by KEY.
+    first = keyed(df).withColumn("__n", F.row_number().over(Window.partitionBy(*KEY).orderBy("__h"))).where("__n = 1").drop("__n")
+    return first.join(copies, KEY).orderBy("__position", "doc_id").select(*df.columns)
