@@ -393,10 +393,10 @@ def test_srs_many_cells_and_copies(spark, monkeypatch):
 
 
 def test_srs_odd_rows(spark):
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0, None]), (6, [1.0]), (None, [1.0, 0.0]), (7, [-1.0, 0.0]), (1, [1.0, 1.0]), (50, [0.0, 0.0])]
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0, None]), (6, [1.0]), (None, [1.0, 0.0]), (7, [-1.0, 0.0]), (1, [1.0, 1.0]), (50, [0.0, 0.0]), (8, [-1e-200, 1e-220]), (9, [-1e300, -1e300])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("row", F.lit(1))
     got = [tuple(r)[:3] for r in srs.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1), (0, 2, 1), (0, 3, 7)]
+    assert got == [(0, 1, 1), (0, 2, 1), (0, 3, 9), (0, 4, 7), (0, 5, 8)]
     assert srs.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
@@ -694,12 +694,34 @@ def test_lines_by_host(spark, monkeypatch, limit):
     rows = [(i, f"menu\n\nown {i}\nmenu", "en", "a") for i in range(20)] + [(100 + i, f"menu\nown {i}", "en", None) for i in range(20)]
     rows += [(200 + i, "menu" if i < 5 else f"t{i}", "en", "b") for i in range(60)] + [(300, None, "en", "a"), (301, "", "en", "a"), (302, "menu", "en", "c")]
     df = documents(spark, rows, extra=True)
-    out = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(df, host="source").collect()}
+    out = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(df, host="source", ratio=0.1).collect()}
     assert out[3] == "\nown 3" and out[103] == "own 3" and out[200] == "menu" and out[302] == "menu" and out[300] is None and out[301] == ""
     assert lines.drop_boilerplate(df, host="source").columns == df.columns
     assert lines.drop_boilerplate(df.limit(0), host="source").count() == 0
     counts = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in lines.drop_boilerplate(df, host="source", counts=True).collect()}
     assert counts[3] == (4, 2) and counts[300] == (0, 0) and counts[301] == (1, 0)
+    clash = lines.drop_boilerplate(df.withColumn("n_lines", F.lit("x")), host="source", counts=True)
+    assert clash.columns == [*df.columns, "n_lines", "n_dropped"] and dict(clash.dtypes)["n_lines"] == "bigint"
+
+
+def test_lines_planted_among_clean_text(spark):
+    rng = random.Random(4)
+    passage = " ".join(f"p{rng.randrange(10**4)}" for _ in range(60))
+    planted = {"Home | About | Contact": 8, passage: 20, "This work is licensed under the terms of the licence.": 30}
+    rows, own = [], {}
+    for k in range(400):
+        own[k] = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(9)) for _ in range(rng.randrange(1, 9))]
+        put = list(own[k])
+        for line, every in planted.items():
+            if k % every == 0:
+                put.insert(rng.randrange(len(put) + 1), line)
+        if k in (7, 77, 177, 277):  # too rare to be the site's
+            own[k] = put = [*put, "Quoted by some."]
+        rows.append((k, "\n".join(put), "en", "site"))
+    rows += [(1000 + k, passage, "en", f"elsewhere{k}") for k in range(4)]
+    out = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(documents(spark, rows), host="source").collect()}
+    assert all(out[k] == "\n".join(x) for k, x in own.items())
+    assert all(out[1000 + k] == passage for k in range(4))
 
 
 # Pipeline and registration
