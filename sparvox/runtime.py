@@ -27,18 +27,18 @@ def workers_see_package(spark: SparkSession) -> None:
 def shared_root(spark: SparkSession) -> str:
     """URI of the folder that all executors share: the session's spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder of this process is used.
+    Where that is unset, a session whose executors are this process (tests) gets a temporary folder; on a cluster it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    jsc = spark.sparkContext._jsc.sc()
     if not found:
-        jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isDefined():
             return _qualified(spark, str(jsc.getCheckpointDir().get()))
+        if not jsc.isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparvox-")
         atexit.register(remove_uri, found)
         spark.sparkContext.setCheckpointDir(found)
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
     return _qualified(spark, found)
 
 
@@ -66,14 +66,42 @@ def remove_uri(uri: str) -> None:
         pass  # never written, or the store has gone before the driver
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lineage ends at files that survive the loss of executors."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Stored tables: a weak reference to what every plan over the table holds, and where it lies.
+_stored: list[tuple] = []
+
+
+def sweep() -> None:
+    """Removes the stored tables that no plan of the driver refers to any more."""
+    gone = []
+    for entry in list(_stored):
+        reference, uri = entry
+        try:
+            dead = reference.get() is None
+        except Exception:  # noqa: BLE001  the session that stored it has ended, and its tables went with it
+            _stored.remove(entry)
+            continue
+        if dead:
+            gone.append(uri)
+            _stored.remove(entry)
+    for uri in gone:
+        remove_uri(uri)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: a columnar cut point for wide tables."""
-    uri = shared_path(df.sparkSession, name)
+    """Writes df as Parquet to the shared folder and reads it back: a cut point that survives the loss of executors.
+
+    The table is there as long as some plan refers to it; it goes when a later one is stored, or when the driver ends.
+    """
+    spark = df.sparkSession
+    sweep()
+    uri = shared_path(spark, name)
     df.write.parquet(uri)
-    return df.sparkSession.read.schema(df.schema).parquet(uri)
+    out = spark.read.schema(df.schema).parquet(uri)
+    files = out._jdf.queryExecution().analyzed().relation().location()
+    _stored.append((spark._jvm.java.lang.ref.WeakReference(files), uri))
+    return out
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Ends the lineage of a small table: it is computed once and stored."""
+    return stage(df, "cut")
