@@ -13,20 +13,24 @@ most company over all its buckets, so that an original comes before copies of it
 Confirmation. Candidates whose sketches agree in too few bins (0.13 below the threshold; 5.8 standard deviations) are set
 aside; the others are confirmed on the full sets, read anew from the texts: exact intersection and union.
 
-The rest. A star misses a link when neither end is the centre. So after joining what the stars linked, every bucket that
-still holds several components has all pairs between different components compared by sketch, in blocks of at most
-256 x 256 members, and what may be similar is confirmed likewise. No bucket is capped. Pairs within one component need
-no test: they can't change the result.
+The rest. A star misses a link when neither end is the centre. What is left to find are links between different components in a bucket (those
+within one can't change the result), and one minus the similarity is a metric, so centres tell where they can be. A linked document is
+within e = 1 - J of the centre of its star; others are stars of their own. Two stars with linked members have centres within 3 e of each other, and
+such a member is within 2 e of the other star's centre. So in a bucket only the centres of different components are compared by sketch, in
+blocks of at most 256 x 256; then the members of stars that are near each other with the other's centre; then what is left of the one side with
+what is left of the other, in blocks again; and what may be similar is confirmed likewise. A bucket of many copies in few
+components costs a comparison or two for each member. Nothing is capped.
 
 Defined results: null or wordless text: an empty set, linked with nothing, its own component; fewer than five words: the
 whole sequence is the one shingle; null doc_id: compared with nothing, component_id null, kept; repeated rows: each gets
-its component, and all rows of the smallest doc_id are kept; an empty table gives an empty result. Extra columns play no
+its component, and all rows of the smallest doc_id are kept; rows of one doc_id with different texts are one document, linked by any of
+its texts (their sketches aren't asked: what shares a bucket is confirmed on the texts); an empty table gives an empty result. Extra columns play no
 part. Texts of any length are taken whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +42,8 @@ from sparvox.llm.components import connected
 from sparvox.runtime import cut, stage, workers_see_package
 
 BINS, BANDS, ROWS = 256, 42, 6
-#: How far below the threshold the share of agreeing bins may lie.
-SLACK = 0.13
+#: How far below the threshold the share of agreeing bins may lie; and below the lower ones for centres, where it varies more (5.8 standard deviations).
+SLACK, WIDE_SLACK = 0.13, 0.18
 #: Members of one block of a bucket, and of one group around a centre.
 BLOCK = 256
 
@@ -100,9 +104,15 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.
 
 
 def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-    """In how many bins two sketches agree."""
-    x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(-1, BINS) for v in (a, b))
-    return pa.array((x == y).sum(axis=1, dtype=np.int32))
+    """In how many bins two sketches agree; in all, if one is null."""
+    x, y = unpacked(a), unpacked(b)
+    known = np.array(a.is_valid()) & np.array(b.is_valid())
+    return pa.array(np.where(known, (x == y).sum(axis=1, dtype=np.int32), np.int32(BINS)))
+
+
+def unpacked(sketches: pa.Array) -> np.ndarray:
+    """A row for each sketch; zeros for null."""
+    return np.frombuffer(b"".join(x or bytes(BINS) for x in sketches.to_pylist()), np.uint8).reshape(-1, BINS)
 
 
 def confirm_batches(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -155,19 +165,23 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 
 def cross_batches(batches: Iterator[pa.RecordBatch], percent: int, least: int) -> Iterator[pa.RecordBatch]:
-    """For each block pair of a bucket, the pairs of different components whose sketches agree enough."""
-    for group in grouped(batches, ["key", "x", "y"]):
+    """For each pair of blocks (key, x, y), sides 0 and 1, or of a block with itself (side 0 only): the pairs of different components whose sketches agree enough.
+
+    percent: what the smaller set must be of the larger.
+    """
+    for group in grouped(batches, ["key", "other", "x", "y"]):
         ids, labels, sizes, side = (np.asarray(group.column(k)) for k in ("doc_id", "component", "n", "side"))
-        marks = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-        same = group.column("x")[0] == group.column("y")[0]
+        marks, blank = unpacked(group.column("sketch")), np.array(group.column("sketch").is_null())
         order = np.arange(len(ids))
+        right = np.flatnonzero(side == 1)
         found: list[np.ndarray] = []
-        for i in order if same else np.flatnonzero(side == 0):
-            others = order[i + 1 :] if same else np.flatnonzero(side == 1)
+        for i in np.flatnonzero(side == 0):
+            others = right if len(right) else order[i + 1 :]
             others = others[labels[others] != labels[i]]
             small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-            others = others[100 * small >= percent * large]
-            others = others[(marks[others] == marks[i]).sum(axis=1) >= least]
+            free = blank[others] | blank[i]
+            others = others[free | (100 * small >= percent * large)]
+            others = others[blank[others] | blank[i] | ((marks[others] == marks[i]).sum(axis=1) >= least)]
             if len(others):
                 found.append(np.stack((np.minimum(ids[others], ids[i]), np.maximum(ids[others], ids[i]))))
         if found:
@@ -196,6 +210,40 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     return cut(ordered.mapInArrow(run, "a long, b long"))
 
 
+def rest(members: DataFrame, links: DataFrame, percent: int, marks: DataFrame, likely: Callable, crossing: Callable) -> DataFrame:
+    """Pairs (a < b) of different components that may be similar though no star has them: members (key, doc_id, component) of mixed buckets, links (a: centre, b)."""
+    near, far = 3 * percent - 200, 2 * percent - 100  # of centres; of a member and the other centre
+    agree = lambda p: max(0, int((p / 100 - WIDE_SLACK) * BINS))
+    centres = links.select(F.col("a").alias("doc_id")).distinct().withColumn("centre", F.col("doc_id"))
+    bound = links.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("near"))
+    starred = members.join(centres, "doc_id", "left").join(bound, "doc_id", "left").withColumn("star", F.coalesce("centre", "near", "doc_id")).select("key", "doc_id", "component", "star")
+    starred = cut(starred)
+    sketches = marks.select("doc_id", "n", "sketch")
+
+    # Centres of a bucket against each other.
+    posted = starred.select("key", F.col("star").alias("doc_id"), "component").distinct()
+    counted = posted.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = posted.join(counted, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    placed = placed.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x, y = F.least("own", "y").alias("x"), F.greatest("own", "y").alias("y")
+    placed = placed.select("key", F.lit(0).cast("long").alias("other"), x, y, (F.col("own") > F.col("y")).cast("int").alias("side"), "doc_id", "component").join(sketches, "doc_id")
+    close = cut(crossing(placed, max(0, near), agree(near)))
+
+    # Members of stars that are near each other with the other's centre: each by itself, so a hot star is many rows of one small check.
+    of = starred.select("star", "doc_id", "component").distinct()
+    ways = close.select(F.col("a").alias("star"), F.col("b").alias("far"), F.lit(0).alias("side")).union(close.select(F.col("b").alias("star"), F.col("a").alias("far"), F.lit(1).alias("side")))
+    tests = ways.join(of, "star").select(F.col("doc_id").alias("a"), F.col("far").alias("b"), "star", "side", "component")
+    kept = cut(likely(tests, max(0, far), agree(far)).select(F.least("star", "b").alias("key"), F.greatest("star", "b").alias("other"), "side", F.col("a").alias("doc_id"), "component"))
+
+    # What is left of both sides.
+    blocks = kept.groupBy("key", "other").agg(*(F.ceil(F.count(F.when(F.col("side") == k, 1)) / BLOCK).cast("int").alias(f"blocks{k}") for k in (0, 1))).where("blocks0 > 0 AND blocks1 > 0")
+    both = kept.join(blocks, ["key", "other"])
+    own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("side") == 0, F.col("blocks0")).otherwise(F.col("blocks1"))).cast("int")
+    both = both.withColumn("own", own).withColumn("across", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("blocks1")).otherwise(F.col("blocks0")) - 1)))
+    x, y = (F.when(F.col("side") == k, F.col("own")).otherwise(F.col("across")).alias(n) for k, n in ((0, "x"), (1, "y")))
+    return crossing(both.select("key", "other", x, y, "side", "doc_id", "component").join(sketches, "doc_id"), percent, int((percent / 100 - SLACK) * BINS))
+
+
 def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of df: similar means 100 * |A & B| >= percent * |A | B|."""
     workers_see_package(df.sparkSession)
@@ -207,10 +255,15 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
         return minhash.sketch_batches(batches, size)
 
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from sparvox.llm import minhash
+    def crossing(rows: DataFrame, part: int, agree: int) -> DataFrame:
+        """Distinct pairs (a, b) by cross_batches of rows key, other, x, y, side, doc_id, component, n, sketch."""
+
+        def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from sparvox.llm import minhash
+
+            return minhash.cross_batches(batches, part, agree)
 
-        return minhash.cross_batches(batches, percent, least)
+        return rows.repartition("key", "other", "x", "y").sortWithinPartitions("key", "other", "x", "y").mapInArrow(cross, "a long, b long").distinct()
 
     def agreeing(a: pa.Array, b: pa.Array) -> pa.Array:
         from sparvox.llm import minhash
@@ -226,31 +279,31 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     shared = postings.groupBy("key").agg(F.count("*").alias("company")).where("company > 1")
     live = cut(postings.join(shared, "key"))
     standing = live.groupBy("doc_id").agg(F.sum("company").alias("standing"))
-    marks = stage(nodes.select("doc_id", "n", "sketch").join(standing, "doc_id").dropDuplicates(["doc_id"]), "marks")
+    several = cut(nodes.groupBy("doc_id").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo != hi").select("doc_id", F.lit(True).alias("several")))
+    one = nodes.select("doc_id", "n", "sketch").join(standing, "doc_id").dropDuplicates(["doc_id"]).join(several, "doc_id", "left")
+    marks = stage(one.select("doc_id", "n", F.when(F.col("several").isNull(), F.col("sketch")).alias("sketch"), "standing"), "marks")
 
     ranked = live.join(marks.select("doc_id", "standing"), "doc_id")
     centres = ranked.groupBy("key").agg(F.min(F.struct((-F.col("standing")).alias("s"), F.col("doc_id").alias("a"))).alias("c")).select("key", "c.a")
     stars = live.join(centres, "key").where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct()
 
-    def likely(pairs: DataFrame) -> DataFrame:
+    def likely(pairs: DataFrame, part: int = percent, agree: int = least) -> DataFrame:
+        """Those of the pairs (a, b) whose sketches agree in so many bins, and of which the smaller set is at least part per cent of the larger."""
         a, b = (marks.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
-        sized = pairs.join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        return sized.where(F.arrow_udf(agreeing, "int")("sketch_a", "sketch_b") >= least).select("a", "b")
+        sized = pairs.join(a, "a").join(b, "b").where(F.col("sketch_a").isNull() | F.col("sketch_b").isNull() | (100 * F.least("n_a", "n_b") >= part * F.greatest("n_a", "n_b")))
+        return sized.where(F.arrow_udf(agreeing, "int")("sketch_a", "sketch_b") >= agree).drop("n_a", "n_b", "sketch_a", "sketch_b")
 
     links = confirm(cut(likely(stars)), docs, size, percent)
-    joined = connected(links)
-    labelled = live.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = labelled.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rest = labelled.join(split.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id", "component")
-    rest = rest.join(marks.select("doc_id", "n", "sketch"), "doc_id").select("key", "x", "y", "side", "doc_id", "component", "n", "sketch")
-    crossed = rest.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(cross, "a long, b long").distinct()
-    crossed = cut(crossed.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    joined = connected(links)  # what links the texts of one document plays no part yet: such a document needs no sketch
+    labelled = live.select("key", "doc_id").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    crossed = rest(labelled.join(split, "key"), links, percent, marks, likely, crossing)
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    crossed = cut(crossed.join(done, ["a", "b"], "left_anti"))
     all_links = links if crossed.isEmpty() else links.union(confirm(crossed, docs, size, percent))
 
-    found = connected(all_links).withColumnRenamed("id", "rep")
+    texts_of_one = nodes.join(several, "doc_id", "left_semi").join(classes, "print").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    found = connected(all_links.union(texts_of_one)).withColumnRenamed("id", "rep")
     member = sketches.select("doc_id", "n", "print").join(classes, "print", "left").join(found, "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return member.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
