@@ -14,7 +14,7 @@ _ODD = re.compile(r"(?:^| )(?:\s|$)|\s(?: |$)")
 #: A single line feed between characters that aren't white space.
 _LINE = re.compile(r"(?<=\S)\n(?=\S)")
 #: Characters of the texts whose chunks are encoded in one call.
-GROUP = 1 << 23
+GROUP = 1 << 22
 #: What may follow a word as one match of the pattern; not the apostrophe, with which some matches open.
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
@@ -32,7 +32,7 @@ class Chunked:
     A full cache keeps the chunks of the texts at hand, among which are the frequent ones.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], encode_pretokens: Callable[[list[str]], list[bytes]], most: int = 1_000_000, words: bool = True):
+    def __init__(self, split: Callable[[str], list[str]], encode_pretokens: Callable[[list[str]], list[bytes]], most: int = 700_000, words: bool = True):
         """split: a chunk's matches; words: whether letters with the space before them are one match, and _MARKS after them another."""
         self.split, self.encode_pretokens, self.most, self.words = split, encode_pretokens, most, words
         #: By chunk: without its space, or with its line feed.

@@ -214,6 +214,34 @@ def test_minhash_odd_rows(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_minhash_one_id_with_several_texts(spark):
+    rng = random.Random(12)
+    a, b, c = ([f"{x}{rng.randrange(10**6)}" for _ in range(120)] for x in "abc")
+    rows = [(1, " ".join(a)), (9, " ".join(a[:-2])), (9, " ".join(b)), (9, " ".join(c)), (12, " ".join(b[2:])), (15, " ".join(c)), (20, "alone " + " ".join(c[:9])), (21, None), (21, "x")]
+    got = collections.defaultdict(set)
+    for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect():
+        got[r["doc_id"]].add(r["component_id"])
+    assert got == {1: {1}, 9: {1}, 12: {1}, 15: {1}, 20: {20}, 21: {21}}
+
+
+def test_minhash_in_mixed_buckets_of_many_copies(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+    families = []
+    for _ in range(8):  # too far from each other to be linked, but with buckets in common
+        family = list(base)
+        for at in rng.sample(range(160), 4):
+            family[at] = f"f{rng.randrange(10**9)}"
+        families.append(family)
+    rows = []
+    for k in range(160):
+        text = list(families[k % 8])
+        text[rng.randrange(160)] = f"x{k}"
+        rows.append((k, " ".join(text)))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()}
+    assert got == brute_components({k: shingle_set(t) for k, t in rows}, 85) and 1 < len(set(got.values())) <= 8
+
+
 def test_densified_bins_agree_as_often_as_sets_do():
     rng = np.random.default_rng(9)
     for size in (12, 60, 400):
