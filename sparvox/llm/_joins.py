@@ -24,6 +24,11 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, spread: Column) -> Data
     return salted.join(copies, [key, "__salt"], "left").drop("__salt")
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df (a stored table, or nearly), to be broadcast if it has been counted to have few rows; they must be narrow."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def group_key(*columns: str) -> Column:
     """One string for a group of nullable columns: nulls and values, and the places of values, can't be mixed up."""
     parts = [F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string"))) for c in columns]

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparvox.llm._joins import BROADCAST_ROWS, small
 from sparvox.llm._shingles import shingles
 from sparvox.llm.components import connected
 from sparvox.runtime import cut, stage, workers_see_package
@@ -193,7 +194,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     """Those of the pairs (a, b) that are similar on their full sets.
 
     Every text goes once to each centre that it is compared with, and a centre's own to each block of its members; a task
-    holds one centre's set at a time.
+    holds one centre's set at a time. Where the pairs have been counted to be few, they go to the texts, else texts and pairs meet by id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +205,11 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = cut(pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block")))
     roles = placed.select(F.col("b").alias("doc_id"), "a", "block", "b").union(placed.select("a", "a", "block", F.lit(None).cast("long")).distinct())
-    wanted = roles.groupBy("doc_id").agg(F.collect_list(F.struct("a", "block", "b")).alias("roles"))
-    sent = wanted.join(docs, "doc_id").select(F.explode("roles").alias("r"), "text").select("r.a", "r.block", "r.b", "text")
+    if placed.count() <= BROADCAST_ROWS:
+        sent = docs.join(F.broadcast(roles), "doc_id").select("a", "block", "b", "text")
+    else:
+        wanted = roles.groupBy("doc_id").agg(F.collect_list(F.struct("a", "block", "b")).alias("roles"))
+        sent = wanted.join(docs, "doc_id").select(F.explode("roles").alias("r"), "text").select("r.a", "r.block", "r.b", "text")
     ordered = sent.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
     return cut(ordered.mapInArrow(run, "a long, b long"))
 
@@ -214,9 +218,9 @@ def rest(members: DataFrame, links: DataFrame, percent: int, marks: DataFrame, l
     """Pairs (a < b) of different components that may be similar though no star has them: members (key, doc_id, component) of mixed buckets, links (a: centre, b)."""
     near, far = 3 * percent - 200, 2 * percent - 100  # of centres; of a member and the other centre
     agree = lambda p: max(0, int((p / 100 - WIDE_SLACK) * BINS))
-    centres = links.select(F.col("a").alias("doc_id")).distinct().withColumn("centre", F.col("doc_id"))
-    bound = links.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("near"))
-    starred = members.join(centres, "doc_id", "left").join(bound, "doc_id", "left").withColumn("star", F.coalesce("centre", "near", "doc_id")).select("key", "doc_id", "component", "star")
+    ends = links.select(F.col("a").alias("doc_id"), F.col("a").alias("centre"), F.lit(None).cast("long").alias("near")).union(links.select("b", F.lit(None).cast("long"), "a"))
+    stars = small(cut(ends.groupBy("doc_id").agg(F.coalesce(F.max("centre"), F.min("near")).alias("star"))))
+    starred = members.join(stars, "doc_id", "left").withColumn("star", F.coalesce("star", "doc_id")).select("key", "doc_id", "component", "star")
     starred = cut(starred)
     sketches = marks.select("doc_id", "n", "sketch")
 
@@ -275,12 +279,12 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     classes = nodes.groupBy("print").agg(F.min("doc_id").alias("rep"))
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
 
-    postings = nodes.select("doc_id", F.explode("keys").alias("key")).join(reps, "doc_id", "left_semi")
+    postings = nodes.select("doc_id", "keys").join(reps, "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("company")).where("company > 1")
     live = cut(postings.join(shared, "key"))
     standing = live.groupBy("doc_id").agg(F.sum("company").alias("standing"))
     several = cut(nodes.groupBy("doc_id").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo != hi").select("doc_id", F.lit(True).alias("several")))
-    one = nodes.select("doc_id", "n", "sketch").join(standing, "doc_id").dropDuplicates(["doc_id"]).join(several, "doc_id", "left")
+    one = nodes.select("doc_id", "n", "sketch").join(standing, "doc_id").dropDuplicates(["doc_id"]).join(small(several), "doc_id", "left")
     marks = stage(one.select("doc_id", "n", F.when(F.col("several").isNull(), F.col("sketch")).alias("sketch"), "standing"), "marks")
 
     ranked = live.join(marks.select("doc_id", "standing"), "doc_id")
@@ -295,14 +299,14 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
     links = confirm(cut(likely(stars)), docs, size, percent)
     joined = connected(links)  # what links the texts of one document plays no part yet: such a document needs no sketch
-    labelled = live.select("key", "doc_id").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    crossed = rest(labelled.join(split, "key"), links, percent, marks, likely, crossing)
+    labelled = live.select("key", "doc_id").join(small(joined.withColumnRenamed("id", "doc_id")), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    split = cut(labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key"))
+    crossed = rest(labelled.join(small(split), "key"), links, percent, marks, likely, crossing)
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crossed = cut(crossed.join(done, ["a", "b"], "left_anti"))
     all_links = links if crossed.isEmpty() else links.union(confirm(crossed, docs, size, percent))
 
-    texts_of_one = nodes.join(several, "doc_id", "left_semi").join(classes, "print").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    texts_of_one = nodes.join(small(several), "doc_id", "left_semi").join(classes, "print").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     found = connected(all_links.union(texts_of_one)).withColumnRenamed("id", "rep")
     member = sketches.select("doc_id", "n", "print").join(classes, "print", "left").join(found, "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
