@@ -31,14 +31,25 @@ def strip_annotations(text: Column) -> Column:
     return strip_tags(F.regexp_replace(dropped, r"\{([^{}]{0,200})\}", " $1 "))
 
 
-def strip_parentheses(text: Column, depth: int = 8) -> Column:
-    """Without (...) nested up to depth; escapes of spaces and joiners decoded, Unicode parentheses as ASCII ones."""
+def strip_parentheses(text: Column) -> Column:
+    """Without (...), however deeply nested: as many passes as the text nests them; escapes of spaces and joiners decoded, Unicode parentheses as ASCII ones."""
     for code in ("200c", "200d", "00a0", "3000"):
         text = F.regexp_replace(text, rf"(?i)\\+u{code}", chr(int(code, 16)))
     text = F.translate(text, OPENERS + CLOSERS, "(" * len(OPENERS) + ")" * len(CLOSERS))
-    for _ in range(depth):
-        text = F.regexp_replace(text, r"\([^()]*\)", " ")
-    return F.translate(text, "()", "  ")
+
+    def passes(t: Column) -> Column:
+        start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+        def step(a: Column, mark: Column) -> Column:
+            now = F.greatest(F.lit(0), a["now"] + F.when(mark == "(", 1).otherwise(-1))
+            return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+        depth = F.aggregate(F.regexp_extract_all(t, F.lit("[()]"), F.lit(0)), start, step, lambda a: a["most"])
+        inner = lambda x, _: F.regexp_replace(x, r"\([^()]*\)", " ")
+        return F.aggregate(F.slice(F.sequence(F.lit(0), depth), 1, depth), t, inner)
+
+    stripped = F.element_at(F.transform(F.array(text), lambda t: F.when(t.contains("("), passes(t)).otherwise(t)), 1)
+    return F.translate(stripped, "()", "  ")
 
 
 def tokens(text: Column, metric: str | Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 from collections.abc import Callable
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,8 +14,10 @@ from pyspark.sql import functions as F
 
 from sparvox.functions import kernels
 from sparvox.functions.languages import WORDLESS, canonical
+from sparvox.operators import transcripts
 from sparvox.operators.scoring import permuted
 from sparvox.runtime import workers_see_package
+from sparvox.sources import jsonl
 
 GAP = 0.2
 Span = tuple[str, float, float]
@@ -260,6 +264,32 @@ def timeline(blob: dict) -> list[Span]:
     return spans
 
 
+def checked_timeline(blob: dict, provider: str | None = None) -> list[Span]:
+    """Speech of a blob. A provider whose responses are kept (gemini_transcribe) has words and turns of the blob held against its response first."""
+    if provider != "gemini_transcribe" or not blob:
+        return timeline(blob)
+    kept = blob.get("provider_meta") or {}
+    if len(kept) != 1 or blob.get("physical_channel_blobs"):
+        raise TimingError("there must be one response, to mixed audio")
+    (channel, meta), = kept.items()
+    if not isinstance(meta, dict) or not isinstance(meta.get("response"), dict):
+        raise TimingError("the response isn't kept")
+    if meta.get("word_alignment_complete") is False:
+        raise TimingError("word times are incomplete")
+    try:
+        words = transcripts.gemini(meta["response"], diarize=True)["words"]
+    except (KeyError, transcripts.ResponseError) as e:
+        raise TimingError(f"the response can't be read: {e}") from e
+    ms = lambda w: (1000 * w["start_s"], 1000 * w["end_s"])
+    if [(w.get("start_ms"), w.get("end_ms")) for w in blob.get("words") or ()] != [ms(w) for w in words]:
+        raise TimingError("the stored words aren't those of the response")
+    named = [w | {"speaker": f"{channel}:{w['speaker']}"} for w in words]
+    said = [(t["speaker"], *ms(t)) for t in transcripts.turns(named)]
+    if [(label(s), s.get("start_ms"), s.get("end_ms")) for s in blob["verbatim"]["segments"]] != said:
+        raise TimingError("the stored turns aren't those of the response")
+    return word_activity(named, skip_reversed=True)
+
+
 # One sample's metrics
 
 
@@ -267,51 +297,163 @@ def _rate(key: str, n: float, d: float, **more) -> dict:
     return {"metric": key, "numerator": float(n), "denominator": float(d), "value": n / d if d else None, **more}
 
 
-def score_sample(reference: dict, hypothesis: dict | None, *, condition: str = "mono", transcribes: bool = True, diarizes: bool = True) -> dict:
-    """metrics (rows of metric, numerator, denominator, value) and unavailable (metric family -> why).
+def _counted(key: str, counts: tuple[int, int, int, int]) -> dict:
+    return _rate(key, sum(counts[:3]), counts[0] + counts[1] + counts[3], **dict(zip(("substitutions", "deletions", "insertions", "hits"), counts)))
+
+
+def units_of(language: str) -> tuple[list[str], str]:
+    """The units that a language is scored in, and the one that its permuted rate is in."""
+    code = canonical(language)
+    units = ["cer", *(["ser"] if code == "vi" else [] if code in WORDLESS else ["wer"])]
+    return units, "cer" if code in {*WORDLESS, "ko"} else units[-1]
 
-    condition: dual scores each channel by itself and adds up; mono with diarization scores permuted speakers under the plain names; mono
-    without it the mixed text. A null hypothesis is a failed request: nothing is scored.
+
+def score_sample(reference: dict, hypothesis: dict | None, *, condition: str = "mono", transcribes: bool = True, diarizes: bool = True, provider: str | None = None) -> dict:
+    """language, condition, metrics (rows of metric, numerator, denominator, value, and edit counts of texts) and unavailable (metric family -> why).
+
+    dual: hypothesis is {ch1: blob, ch2: blob}; each channel is scored by itself and the counts add up. mono: one blob; with diarization
+    permuted speakers are scored under the plain names, without it the mixed text. Permuted rates need two speakers with text.
+    A null hypothesis is a failed request: nothing is scored.
     """
-    if hypothesis is None:
-        return {"metrics": [], "unavailable": {"all": "no hypothesis"}}
     if condition not in ("dual", "mono"):
         raise ValueError("condition is dual or mono")
+    if not (transcribes or diarizes) or (condition == "dual" and not transcribes):
+        raise ValueError("dual needs transcription, mono transcription or diarization")
+    head = {"language": reference["language"], "condition": condition}
+    if hypothesis is None:
+        return head | {"metrics": [], "unavailable": {"all": "no hypothesis"}}
+    if condition == "dual" and set(hypothesis) != {"ch1", "ch2"}:
+        raise ValueError("dual needs both ch1 and ch2")
+    for blob in hypothesis.values() if condition == "dual" else (hypothesis,):
+        validate_blob(blob)
     code = canonical(reference["language"])
-    units = ["cer"] + (["ser"] if code == "vi" else [] if code in WORDLESS else ["wer"])
+    units, primary = units_of(code)
     rows: list[dict] = []
     unavailable: dict[str, str] = {}
-    said = text_by_speaker(validate_blob(hypothesis))
+    whole = lambda blob: " ".join(s.get("text") or "" for s in (blob.get("verbatim") or {}).get("segments") or ())
+    # Channels of a reference may be named 1 and 2 or ch1 and ch2.
+    own = reference["text_by_speaker"]
+    said = {k if k in own else k.removeprefix("ch"): whole(v) for k, v in hypothesis.items()} if condition == "dual" else text_by_speaker(hypothesis)
     if transcribes:
         for unit in units:
             cut = lambda t: kernels.tokens(kernels.normalize(t, code), unit)  # noqa: E731, B023
-            r, h = ({k: cut(v) for k, v in x.items()} for x in (reference["text_by_speaker"], said))
+            r, h = ({k: cut(v) for k, v in x.items()} for x in (own, said))
             if condition == "dual":
-                pairs = [kernels.edit_counts(r.get(k, []), h.get(k, [])) for k in sorted(r | h)]
-                counts = tuple(map(sum, zip(*pairs))) if pairs else (0, 0, 0, 0)
+                counts = tuple(map(sum, zip(*(kernels.edit_counts(r.get(k, []), x) for k, x in h.items()))))
             elif diarizes:
                 counts = permuted(r, h)[0]
             else:
-                counts = kernels.edit_counts(cut(reference["mixed_text"]), cut(" ".join(said.values())))
-            rows.append(_rate(unit, sum(counts[:3]), counts[0] + counts[1] + counts[3]))
-            if sum(bool(x) for x in r.values()) >= 2 and (condition == "dual" or diarizes):
-                c = permuted(r, h)[0]
-                rows.append(_rate(f"cp{unit}", sum(c[:3]), c[0] + c[1] + c[3]))
-    if diarizes:
+                counts = kernels.edit_counts(cut(reference["mixed_text"]), cut(whole(hypothesis)))
+            rows.append(_counted(unit, counts))
+            if unit == primary and sum(map(bool, own.values())) >= 2 and (condition == "dual" or diarizes):
+                rows.append(_counted(f"cp{unit}", permuted(r, h)[0]))
+    if condition == "mono" and diarizes:
         try:
-            spoken, duration = timeline(hypothesis), reference.get("duration_s")
+            spoken, duration = checked_timeline(hypothesis, provider), reference.get("duration_s")
             for key, collar in (("der_forced", 0.0), ("der_forced_c25", 0.25)):
                 d = der(reference["timeline"], spoken, collar=collar, duration=duration)
                 rows.append(_rate(key, 1000 * d["numerator"], 1000 * d["denominator"]))
                 rows += [_rate(f"{key}_{short}", 1000 * d[part], 1000 * d["denominator"]) for short, part in (("miss", "missed"), ("fa", "false_alarm"), ("conf", "confusion"))]
-            j, n = jer(reference["timeline"], spoken, duration=duration), speaker_count(reference["timeline"], spoken, duration=duration)
+            j, n = jer(reference["timeline"], spoken, duration=duration), speaker_count(reference.get("count_timeline") or reference["timeline"], spoken, duration=duration)
             rows += [_rate("jer_forced", j["error_sum"], j["reference_speakers"]), _rate("sca", n["correct"], 1), _rate("spk_count_mae", n["absolute_error"], 1)]
-        except TimingError as e:
+        except (TimingError, TypeError) as e:
             unavailable["diarization"] = str(e)
-    return {"metrics": rows, "unavailable": unavailable}
+    return head | {"metrics": rows, "unavailable": unavailable}
+
+
+# Scores of fresh transcripts, and of whole runs
+
+#: Backends whose speech is taken from their words.
+BY_WORDS = {"elevenlabs", "mai", "gemini", "xai"}
+
+
+def connector_blob(transcript: dict, *, diarizes: bool, backend: str | None = None) -> dict:
+    """A fresh transcript (seconds) as a blob; what it lacks for diarization raises."""
+    if not diarizes:
+        return {"verbatim": {"segments": [{"text": transcript["text"]}]}}
+    segments, words = transcript.get("segments") or [], transcript.get("words") or []
+    if transcript["text"].strip() and not segments:
+        raise ValueError("a diarized text has no segments")
+    if any(s.get("speaker") is None for s in segments):
+        raise ValueError("a segment of diarized output has no speaker")
+    incomplete = transcript.get("word_alignment_complete") is False
+    if backend in BY_WORDS:
+        said = {}
+        for s in segments:
+            said[s["speaker"]] = said.get(s["speaker"], "") + s["text"]
+        spoken = {w.get("speaker") for w in words}
+        incomplete |= not transcripts.words_complete(said, words) if backend == "mai" else any(t.strip() and k not in spoken for k, t in said.items())
+    ms = lambda x, k: None if x.get(k) is None else 1000 * x[k]
+    item = lambda x: {"text": x["text"], "speaker_external_id": x.get("speaker"), "start_ms": ms(x, "start_s"), "end_ms": ms(x, "end_s")}
+    blob = {"activity_source": "speaker_words" if backend in BY_WORDS else "native_segments", "verbatim": {"segments": list(map(item, segments))}, "words": list(map(item, words))}
+    return blob | ({"provider_meta": {"1": {"word_alignment_complete": False}}} if incomplete else {})
+
+
+def score_connector_output(clip: dict, transcript: dict, channel: str, *, backend: str | None = None, transcribes: bool = True, diarizes: bool = False) -> dict:
+    """A fresh transcript against its clip: a physical channel by its own text, mono as score_sample does. Raises without aligned words of every channel."""
+    reference = reference_from_clip(clip)
+    if channel == "mono":
+        return score_sample(reference, connector_blob(transcript, diarizes=diarizes, backend=backend), transcribes=transcribes, diarizes=diarizes)
+    code, rows = canonical(reference["language"]), []
+    for unit in units_of(code)[0] if transcribes else ():
+        r, h = (kernels.tokens(kernels.normalize(t, code), unit) for t in (reference["text_by_speaker"][channel], transcript["text"]))
+        rows.append(_counted(unit, kernels.edit_counts(r, h)))
+    return {"language": reference["language"], "condition": channel, "metrics": rows, "unavailable": {}}
+
+
+def dual_result(left: dict, right: dict) -> dict:
+    """Two channels' results as one of the pair: counts of the metrics that both have add up."""
+    second = {m["metric"]: m for m in right["metrics"]}
+    rows = []
+    for m in left["metrics"]:
+        if other := second.get(m["metric"]):
+            sums = {k: m[k] + other[k] for k in m if k not in ("metric", "value") and m[k] is not None}
+            rows.append({"metric": m["metric"], **sums, "value": sums["numerator"] / sums["denominator"] if sums["denominator"] else None})
+    why = {k: x["unavailable"] for k, x in (("ch1", left), ("ch2", right)) if x["unavailable"]}
+    return {"language": left["language"], "condition": "dual", "metrics": rows, "unavailable": why}
+
+
+def run_scores(records: DataFrame) -> DataFrame:
+    """Scored records (sample_id, model, channel, result as JSON, and whatever else) without failed ones, and a row for each pair of channels that are both there.
+
+    A pair's other columns are ch1's. A channel that is there twice raises. Channels meet by (sample_id, model), two rows at most.
+    """
+    workers_see_package(records.sparkSession)
+    scored = records.where("result IS NOT NULL")
+    more = [c for c in records.columns if c not in ("sample_id", "model", "channel", "result")]
+
+    def pair(lefts: pa.Array, rights: pa.Array) -> pa.Array:
+        from sparvox.operators import samples
+
+        return pa.array([json.dumps(samples.dual_result(json.loads(a), json.loads(b)), ensure_ascii=False, allow_nan=False) for a, b in zip(lefts.to_pylist(), rights.to_pylist())], pa.string())
+
+    keys = ["sample_id", "model"]
+    sides = scored.where("channel IN ('ch1', 'ch2')").groupBy(*keys, "channel").agg(F.count("*").alias("n"), F.first("result").alias("result"), *(F.first(c).alias(c) for c in more))
+    once = sides.withColumn("result", F.when(F.col("n") == 1, F.col("result")).otherwise(F.raise_error(F.lit("a channel was scored twice")).cast("string")))
+    right = once.where("channel = 'ch2'").select(*keys, F.col("result").alias("__right"))
+    both = once.where("channel = 'ch1'").join(right, keys)
+    dual = both.withColumn("result", F.arrow_udf(pair, "string")("result", "__right")).withColumn("channel", F.lit("dual"))
+    return scored.unionByName(dual.select(*records.columns))
+
+
+def write_run_scores(records: DataFrame, path: str) -> None:
+    """run_scores as JSON lines; Spark commits whole files only."""
+    jsonl.write(run_scores(records), path, "overwrite")
+
+
+def load_reference(folder: str) -> dict:
+    """The reference of a clip's release folder (metadata.json, scoring_reference.json); a transcript that isn't what metadata records raises."""
+    meta = json.loads((Path(folder) / "metadata.json").read_text(encoding="utf-8"))
+    body = (Path(folder) / "scoring_reference.json").read_bytes()
+    if hashlib.sha256(body).hexdigest() != meta["reference"]["sha256"]:
+        raise ValueError("the transcript isn't the one that metadata.json records")
+    document = json.loads(body)
+    if (document["jobId"], document["lang"]) != (meta["item_key"], meta["metadata"]["language"]):
+        raise ValueError("the transcript is of another clip or language")
+    return reference_from_alignment(document, channel_durations_s={c: meta["audio"][c]["duration_s"] for c in ("ch1", "ch2")})
 
 
-METRICS = "struct<metrics:array<struct<metric:string,numerator:double,denominator:double,value:double>>,unavailable:map<string,string>>"
+METRICS = "struct<metrics:array<struct<metric:string,numerator:double,denominator:double,value:double,substitutions:long,deletions:long,insertions:long,hits:long>>,unavailable:map<string,string>>"
 
 
 def score_samples(df: DataFrame, *, condition: str = "mono", transcribes: bool = True, diarizes: bool = True) -> DataFrame:
@@ -325,7 +467,7 @@ def score_samples(df: DataFrame, *, condition: str = "mono", transcribes: bool =
         for r, h in zip(references.to_pylist(), hypotheses.to_pylist()):
             done = samples.score_sample(json.loads(r), None if h is None else json.loads(h), condition=condition, transcribes=transcribes, diarizes=diarizes)
             out.append({"metrics": done["metrics"], "unavailable": list(done["unavailable"].items())})
-        rows = pa.list_(pa.struct([("metric", pa.string()), ("numerator", pa.float64()), ("denominator", pa.float64()), ("value", pa.float64())]))
+        rows = pa.list_(pa.struct([("metric", pa.string()), ("numerator", pa.float64()), ("denominator", pa.float64()), ("value", pa.float64()), *((k, pa.int64()) for k in ("substitutions", "deletions", "insertions", "hits"))]))
         return pa.array(out, pa.struct([("metrics", rows), ("unavailable", pa.map_(pa.string(), pa.string()))]))
 
     scored = df.withColumn("__s", F.arrow_udf(run, METRICS)("reference", "hypothesis"))

@@ -25,7 +25,7 @@ class ResponseError(ValueError):
 
 def seconds(value: object) -> float:
     """'1.5s' or a number of seconds."""
-    x = float(value[:-1]) if isinstance(value, str) and re.fullmatch(r"\d+(\.\d+)?s", value) else value
+    x = float(value.removesuffix("s")) if isinstance(value, str) and re.fullmatch(r"\d+(\.\d+)?s?", value) else value
     if isinstance(x, bool) or not isinstance(x, (int, float)) or not math.isfinite(x) or x < 0:
         raise ResponseError(f"invalid time {value!r}")
     return float(x)
@@ -87,10 +87,30 @@ def faster_whisper(r: dict, **_) -> dict:
     return transcript("".join(s["text"] for s in r["segments"]), segments, [timed(w["word"].strip(), w["start"], w["end"], None, w.get("probability")) for s in r["segments"] for w in s.get("words") or ()])
 
 
-def gemini(r: dict, **_) -> dict:
-    parts = [p for c in (r.get("candidates") or [])[:1] for p in c["content"]["parts"]]
-    words = [timed(w["word"], w["start_offset"], w["end_offset"], w.get("speaker_label")) for p in parts for w in (p.get("audio_transcription") or {}).get("word_info") or ()]
-    return transcript(" ".join(p["text"].strip() for p in parts if (p.get("text") or "").strip()), turns(words), words)
+def gemini(r: dict, *, diarize: bool = False, **_) -> dict:
+    """A completed interaction: model outputs with texts, whose annotations are words. A reversed word stays as it is, for the timing rules to judge.
+
+    With diarize each word needs times and a speaker. Without, a word without times is at 0, and if any has no speaker, none has.
+    """
+    if r.get("status") != "completed":
+        raise ResponseError(f"the interaction is {r.get('status')!r}, not completed")
+    parts = [c for step in r.get("steps") or () if step.get("type") == "model_output" for c in step.get("content") or () if c.get("type") == "text"]
+    words, untimed, nameless = [], 0, 0
+    for w in (w for c in parts for w in c.get("annotations") or () if w.get("type") == "word_info"):
+        start, end, speaker = w.get("start_offset"), w.get("end_offset"), w.get("speaker")
+        timeless, unnamed = start is None or end is None, speaker is None or not str(speaker).strip()
+        if diarize and (timeless or unnamed):
+            raise ResponseError("a word lacks times or a speaker")
+        untimed, nameless = untimed + timeless, nameless + unnamed
+        a, b = (0.0, 0.0) if timeless else (seconds(start), seconds(end))
+        words.append({"text": w["text"], "start_s": a, "end_s": b, "speaker": None if speaker is None else str(speaker), "confidence": None})
+    text = r.get("output_text") or "".join(c.get("text") or "" for c in parts)
+    if diarize and text.strip() and not words:
+        raise ResponseError("a text has no words")
+    if nameless:
+        words = [w | {"speaker": None} for w in words]
+    quality = {"missing_speaker_words": nameless, "missing_timing_words": untimed, "speaker_attribution_required": diarize}
+    return transcript(text, turns(words), words, annotation_quality=quality)
 
 
 def mai(r: dict, **_) -> dict:

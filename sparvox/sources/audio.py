@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import struct
 import wave
 
@@ -69,37 +70,89 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out / peak if peak > 1 else out
 
 
+def resample(samples: np.ndarray, rate: int, target: int = RATE, *, taps: int = 32) -> np.ndarray:
+    """Band-limited interpolation: a Kaiser-windowed sinc of taps zero crossings on each side, cut off below the lower of the two rates."""
+    if isinstance(rate, bool) or not isinstance(rate, int) or rate <= 0:
+        raise ValueError("a sample rate must be a positive integer")
+    if rate == target or not len(samples):
+        return np.asarray(samples, np.float32)
+    count, scale = -(-len(samples) * target // rate), min(1.0, target / rate) * 0.97
+    reach = int(np.ceil(taps / scale))
+    padded = np.concatenate((np.zeros(reach, np.float64), samples, np.zeros(reach + 1, np.float64)))
+    offsets = np.arange(-reach + 1, reach + 1)
+    out = np.empty(count, np.float32)
+    for at in range(0, count, 1 << 14):  # in blocks, so that memory has a bound
+        place = np.arange(at, min(count, at + (1 << 14))) * (rate / target)
+        first = np.floor(place).astype(np.int64)
+        away = (place - first)[:, None] - offsets
+        weights = scale * np.sinc(scale * away) * np.i0(12 * np.sqrt(np.clip(1 - (away / reach) ** 2, 0, None))) / np.i0(12)
+        out[at : at + len(place)] = (padded[first[:, None] + offsets + reach] * weights).sum(axis=1)
+    return out
+
+
 def mono_mix(ch1: bytes, ch2: bytes) -> dict:
-    """content, sha256, sample_rate_hz, samples, duration_s of two WAV channels' mix. Rates must be RATE: there is no resampler here."""
-    channels = [decode_wav(x) for x in (ch1, ch2)]
-    if any(rate != RATE for _, rate in channels):
-        raise ValueError(f"only {RATE} Hz can be mixed")
-    samples = mix(channels[0][0], channels[1][0])
+    """content, sha256, sample_rate_hz, samples, duration_s of two WAV channels' mix, each brought to RATE first."""
+    first, second = (resample(*decode_wav(x)) for x in (ch1, ch2))
+    samples = mix(first, second)
     content = encode_wav(samples)
     return {"content": content, "sha256": hashlib.sha256(content).hexdigest(), "sample_rate_hz": RATE, "samples": len(samples), "duration_s": len(samples) / RATE}
 
 
+def reusable_mix(stored: bytes | None, ch1: bytes, ch2: bytes, sha256: str | None = None) -> dict:
+    """The mix of two channels; a stored one is used again if it is what its recorded digest says, else the mix is made anew."""
+    if stored is not None and sha256 and hashlib.sha256(stored).hexdigest() == sha256:
+        rate, channels, _, frames = wav_info(stored)
+        if (rate, channels) == (RATE, 1):
+            return {"content": stored, "sha256": sha256, "sample_rate_hz": RATE, "samples": frames, "duration_s": frames / RATE, "reused": True}
+    return mono_mix(ch1, ch2) | {"reused": False}
+
+
 def silences(samples: np.ndarray, rate: int = RATE) -> list[tuple[float, float]]:
-    """Quiet stretches: 30 ms frames every 10 ms below the 10th percentile of level plus 18 dB."""
-    frame, hop = int(0.03 * rate), int(0.01 * rate)
+    """Stretches of 0.2 s and more between speech. Frames of 30 ms every 10 ms are speech if they are 18 dB above the 10th percentile of level (-90 dB at least).
+
+    A run of frames counts from 25 ms on, from 5 ms before its first middle to 5 ms after its last, and is widened by 10 ms; pauses of up to a second are part of speech.
+    """
+    total, frame, hop = len(samples) / rate, max(1, int(0.03 * rate)), max(1, int(0.01 * rate))
     if len(samples) < frame:
-        return []
+        return [(0.0, total)] if total else []
     at = np.arange(0, len(samples) - frame + 1, hop)
-    power = np.concatenate(([0.0], np.cumsum(samples.astype(np.float64) ** 2)))
-    level = 10 * np.log10((power[at + frame] - power[at]) / frame + 1e-12)
-    quiet = level <= np.percentile(level, 10) + 18
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], quiet, [False])).astype(np.int8)))
-    return [(at[a] / rate, (at[b - 1] + frame) / rate) for a, b in zip(edges[::2], edges[1::2])]
-
-
-def windows(duration_s: float, most_s: float, gaps: list[tuple[float, float]], *, fill: float = 0.98, reach_s: float = 15.0) -> list[tuple[float, float]]:
-    """Cuts a recording into windows of at most most_s, near fill of it, in the middle of a gap within reach where there is one."""
-    cuts = [0.0]
-    while duration_s - cuts[-1] > most_s:
-        aim = cuts[-1] + most_s * fill
-        middles = [(a + b) / 2 for a, b in gaps]
-        near = [m for m in middles if abs(m - aim) <= reach_s and cuts[-1] < m <= cuts[-1] + most_s]
-        cuts.append(min(near, key=lambda m: abs(m - aim)) if near else aim)
+    power = np.concatenate(([0.0], np.cumsum(np.asarray(samples, np.float64) ** 2)))
+    level = 20 * np.log10(np.maximum(np.sqrt((power[at + frame] - power[at]) / frame), 3.16e-5))
+    loud = level > max(float(np.percentile(level, 10)), -90.0) + 18
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], loud, [False])).astype(np.int8)))
+    middle = (at + frame / 2) / rate
+    spoken: list[list[float]] = []
+    for a, b in zip(edges[::2], edges[1::2]):
+        start = max(0.0, float(middle[a]) - 0.005)
+        end = min(total, float(middle[b - 1]) + 0.005)
+        if b == len(loud):
+            end = total  # speech that goes on to the last frame goes on to the end
+        elif end - start < 0.025:
+            continue
+        start, end = max(0.0, start - 0.01), min(total, end + 0.01)
+        if spoken and start <= spoken[-1][1] + 1:
+            spoken[-1][1] = max(spoken[-1][1], end)
+        else:
+            spoken.append([start, end])
+    marks = [0.0, *(x for s in spoken for x in s), total]
+    return [(a, b) for a, b in zip(marks[::2], marks[1::2]) if b - a >= 0.2]
+
+
+def windows(duration_s: float, most_s: float, gaps: list[tuple[float, float]], *, fill: float = 0.98, least_s: float = 15.0) -> list[tuple[float, float]]:
+    """Cuts a recording into windows of at most fill of most_s: as few as go, as equal as silences allow.
+
+    Each cut is at the middle of the gap that is nearest to an equal share of what is left, of those at least least_s after the last cut and within
+    the limit; without any, at the limit.
+    """
+    if most_s <= 0 or not 0 < fill <= 1:
+        raise ValueError("the limit must be positive and fill a share")
+    limit, cuts = most_s * fill, [0.0]
+    middles = [(a + b) / 2 for a, b in gaps]
+    while (left := duration_s - cuts[-1]) > limit:
+        last = cuts[-1]
+        share = last + left / math.ceil(left / limit)
+        fit = [m for m in middles if last + least_s <= m <= last + limit]
+        cuts.append(min(fit, key=lambda m: abs(m - share), default=last + limit))
     return list(zip(cuts, [*cuts[1:], duration_s]))
 
 

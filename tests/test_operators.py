@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sparvox.functions import kernels, text
 from sparvox.operators import intervals, runs, samples, scoring, transcripts
 
 S = "clip string, side int, speaker string, start double, end double"
@@ -223,8 +224,12 @@ def test_samples(spark):
     untimed = samples.score_sample(ref, samples.blob_from_text({"hypothesis": "hello there hi"}))
     assert "diarization" in untimed["unavailable"] and by(untimed)["wer"]["numerator"] == 2
     assert by(samples.score_sample(ref, samples.blob_from_text({"hypothesis": "hello there hi"}), diarizes=False))["wer"]["value"] == 0
-    dual = {"verbatim": {"segments": [seg("hello", "ch1", 0, 1), seg("hi", "ch2", 1, 2)]}}
-    assert by(samples.score_sample(ref, dual, condition="dual", diarizes=False))["wer"]["numerator"] == 1
+    dual = {c: {"verbatim": {"segments": [seg(t, c, 0, 1)]}} for c, t in (("ch1", "hello"), ("ch2", "hi"))}
+    rates = by(samples.score_sample(ref, dual, condition="dual", diarizes=False))
+    assert (rates["wer"]["numerator"], rates["wer"]["deletions"], rates["wer"]["hits"]) == (1, 1, 2) and rates["cpwer"]["numerator"] == 1 and "cpcer" not in rates
+    for wrong in ({"condition": "dual", "transcribes": False}, {"transcribes": False, "diarizes": False}, {"condition": "other"}, {"condition": "dual"}):
+        with pytest.raises(ValueError):
+            samples.score_sample(ref, perfect, **wrong)
     df = spark.createDataFrame([(json.dumps(ref), json.dumps(perfect)), (json.dumps(ref), None)], "reference string, hypothesis string")
     rows = samples.score_samples(df).collect()
     assert {m["metric"]: m["value"] for m in rows[0]["metrics"]} == pytest.approx({k: v["value"] for k, v in got.items()})
@@ -248,7 +253,7 @@ RESPONSES = [
     ("deepgram", {"results": {"channels": [{"alternatives": [{"transcript": "hi you", "words": [{"word": "hi", "start": 0, "end": 1, "speaker": 0}, {"word": "you", "start": 1, "end": 2, "speaker": 1}]}]}]}}, "hi you", 2, 2),
     ("elevenlabs", {"text": "hi", "words": [{"text": "hi", "type": "word", "start": 0, "end": 1, "speaker_id": "s", "logprob": 0.0}, {"text": " ", "type": "spacing"}]}, "hi", 1, 1),
     ("faster-whisper", {"segments": [{"text": " hi", "start": 0, "end": 1}, {"text": " you", "start": 1, "end": 2}]}, "hi you", 2, 0),
-    ("gemini", {"candidates": [{"content": {"parts": [{"text": "hi", "audio_transcription": {"word_info": [{"word": "hi", "start_offset": "0.5s", "end_offset": "1s", "speaker_label": "a"}]}}]}}]}, "hi", 1, 1),
+    ("gemini", {"status": "completed", "output_text": "hi", "steps": [{"type": "thought"}, {"type": "model_output", "content": [{"type": "text", "text": "hi", "annotations": [{"type": "word_info", "text": "hi", "start_offset": "0.5s", "end_offset": "1s", "speaker": "a"}]}]}]}, "hi", 1, 1),
     ("mai", {"combinedPhrases": [{"text": "hi"}], "phrases": [{"text": "hi", "speaker": 2, "offsetMilliseconds": 0, "durationMilliseconds": 500, "words": [{"text": "Hi!", "offsetMilliseconds": 0, "durationMilliseconds": 500}]}]}, "hi", 1, 1),
     ("meta", {"turns": [{"text": "hi", "start_ms": 0, "duration_ms": 100, "speaker": "a"}]}, "hi", 1, 0),
     ("mistral", {"text": "hi", "segments": [{"text": "Hi.", "start": 0, "end": 1, "speaker_id": "a"}]}, "hi", 1, 0),
@@ -301,3 +306,100 @@ def test_runs(spark):
     found = runs.preflight(todo, spark.createDataFrame([(f"s{i}", 1800.0) for i in range(6)], "sample_id string, duration_s double"))
     assert (found["tasks"], found["audio_hours"], len(found["missing"])) == (14, pytest.approx(3), 8)
     assert math.isfinite(sum(r["latency_s"] for r in rows))
+
+
+def test_gemini_policy():
+    word = lambda t, a, b, s: {"type": "word_info", "text": t, "start_offset": a, "end_offset": b, "speaker": s}
+    raw = {"status": "completed", "steps": [{"type": "model_output", "content": [{"type": "text", "text": "a b c", "annotations": [word("a", "0s", "1s", 1), word("b", "3s", "2s", 1), word("c", "4s", "5s", 2)]}]}]}
+    words = [{"text": t, "start_ms": a, "end_ms": b} for t, a, b in (("a", 0.0, 1000.0), ("b", 3000.0, 2000.0), ("c", 4000.0, 5000.0))]
+    segments = [{"text": "a b", "speaker_external_id": "1:1", "start_ms": 0.0, "end_ms": 2000.0}, {"text": "c", "speaker_external_id": "1:2", "start_ms": 4000.0, "end_ms": 5000.0}]
+    blob = {"provider_meta": {"1": {"response": raw}}, "words": words, "verbatim": {"segments": segments}}
+    assert samples.checked_timeline(blob, "gemini_transcribe") == [("1:1", 0, 1), ("1:2", 4, 5)]
+    for change in ({"words": words[:2]}, {"verbatim": {"segments": segments[:1]}}, {"provider_meta": {}}, {"provider_meta": {"1": {"response": raw, "word_alignment_complete": False}}}, {"provider_meta": {"1": {"response": raw | {"status": "failed"}}}}):
+        with pytest.raises(samples.TimingError):
+            samples.checked_timeline(blob | change, "gemini_transcribe")
+    loose = json.loads(json.dumps(raw))
+    del loose["steps"][0]["content"][0]["annotations"][0]["speaker"], loose["steps"][0]["content"][0]["annotations"][1]["end_offset"]
+    assert [w["speaker"] for w in transcripts.gemini(loose)["words"]] == [None] * 3
+    with pytest.raises(transcripts.ResponseError):
+        transcripts.gemini(loose, diarize=True)
+
+
+def test_retries_and_locales():
+    waits = []
+
+    class Flaky(runs.Backend):
+        def __init__(self, *errors):
+            self.errors = list(errors)
+
+        def transcribe(self, sample_id, channel, content):
+            if self.errors:
+                raise self.errors.pop(0)
+            return {"text": "ok"}
+
+    go = lambda *errors: runs.attempt(Flaky(*errors), "s", "mono", None, sleep=waits.append)
+    assert go(ConnectionError(), runs.ServiceError(503), runs.ServiceError(429, retry_after="60")) == {"text": "ok"}
+    assert 1 <= waits[0] <= 1.25 and 2 <= waits[1] <= 2.5 and 60 <= waits[2] <= 61
+    for error in (runs.ServiceError(400), FileNotFoundError("x")):
+        with pytest.raises(type(error)):
+            go(error)
+    with pytest.raises(RuntimeError, match="6 attempts"):
+        go(*[TimeoutError()] * 6)
+    assert 120 <= runs.pause(0, "1e9") <= 121 and runs.pause(9) >= 30 and runs.pause(0, "soon") < 2
+    clip = {"language": "pt", "metadata": {"locale": "pt_BR"}}
+    assert (runs.inference_language(clip), runs.inference_language(clip, locale_hint=True)) == ("pt", "pt-br")
+    for bad in ({"locale": "es-MX"}, {"locale": "pt-BR", "benchmark_locale": "pt-PT"}, {"locale": 3}):
+        with pytest.raises(ValueError):
+            runs.inference_language({"language": "pt", "metadata": bad}, locale_hint=True)
+
+
+def test_run_scores(spark, tmp_path):
+    result = lambda s, h: json.dumps({"language": "en", "condition": "ch", "metrics": [samples._counted("wer", (s, 0, 0, h))], "unavailable": {}})
+    rows = [("a", "m", "ch1", result(1, 3), "r"), ("a", "m", "ch2", result(0, 4), "r"), ("b", "m", "ch1", result(1, 1), "r"), ("c", "m", "mono", None, "r")]
+    df = spark.createDataFrame(rows, "sample_id string, model string, channel string, result string, run_id string")
+    got = {(r["sample_id"], r["channel"]): json.loads(r["result"]) for r in samples.run_scores(df).collect()}
+    assert set(got) == {("a", "ch1"), ("a", "ch2"), ("b", "ch1"), ("a", "dual")}
+    assert got["a", "dual"]["metrics"] == [{"metric": "wer", "numerator": 1, "denominator": 8, "substitutions": 1, "deletions": 0, "insertions": 0, "hits": 7, "value": 0.125}]
+    samples.write_run_scores(df, f"{tmp_path}/scores.jsonl")
+    assert spark.read.json(f"{tmp_path}/scores.jsonl").count() == 4
+    with pytest.raises(Exception, match="scored twice"):
+        samples.run_scores(df.union(df.where("channel = 'ch2'"))).collect()
+
+
+class Fails(runs.Backend):
+    identity = {"name": "echo"}
+
+    def transcribe(self, sample_id, channel, content):
+        if sample_id == "s3":
+            raise ValueError("bad")
+        return {"text": sample_id}
+
+
+def test_whole_runs_and_their_merge(spark, tmp_path):
+    tasks = spark.createDataFrame([(f"s{k}", c) for k in range(6) for c in ("ch1", "ch2")], "sample_id string, channel string")
+    spec = {"dataset": "d", "revision": "1", "selection_sha256": "x", "config": {"a": 1}}
+    folders = [f"{tmp_path}/{k}" for k in range(2)]
+    found = [runs.execute(spark, tasks, Fails(), f, spec, shard=k, shards=2) for k, f in enumerate(folders)]
+    assert sum(m["coverage"]["total"] for m in found) == 12 and sum(m["coverage"]["remaining"] for m in found) == 2
+    again = runs.execute(spark, tasks, Fails(), folders[0], spec, shard=0, shards=2)
+    assert again["coverage"]["successful_total"] == found[0]["coverage"]["successful_total"]
+    with pytest.raises(ValueError, match="another run"):
+        runs.execute(spark, tasks, Fails(), folders[0], spec | {"revision": "2"}, shard=0, shards=2)
+    merged = runs.merge_runs(spark, folders, f"{tmp_path}/all")
+    assert merged["status"] == "incomplete_with_failures" and merged["coverage"]["successful_total"] == 10
+    for wrong in (folders[:1], [folders[0], folders[0]], []):
+        with pytest.raises(ValueError):
+            runs.merge_runs(spark, wrong, f"{tmp_path}/other")
+
+
+def test_normalized_once():
+    once = kernels.normalize("Hello, (x) World", "fr")
+    assert kernels.normalize(once, "fr") is once == "hello world"
+    with pytest.raises(ValueError):
+        kernels.normalize(once, "de")
+
+
+def test_deep_parentheses(spark):
+    deep = "a " + "(" * 40 + "x" + ")" * 40 + " b ) c ("
+    got = spark.createDataFrame([(deep,), (None,), ("",), ("))((",)], "t string").select(text.strip_parentheses(F.col("t"))).collect()
+    assert [r[0] for r in got] == [kernels.strip_parentheses(deep), None, "", kernels.strip_parentheses("))((")]

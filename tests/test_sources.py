@@ -104,12 +104,20 @@ def test_audio():
         audio.mix(np.array([np.nan]), np.zeros(1))
     rng = np.random.default_rng(0)
     loud = rng.standard_normal(16_000 * 40).astype(np.float32) * 0.3
-    loud[16_000 * 17 : 16_000 * 18] *= 1e-4
+    loud[16_000 * 16 : 16_000 * 18] *= 1e-4
+    loud[16_000 * 30 : 16_000 * 30 + 8_000] *= 1e-4
     loud[: 16_000 * 5] *= 1e-4
     gaps = audio.silences(loud)
-    assert any(abs(a - 17) < 0.1 and abs(b - 18) < 0.1 for a, b in gaps)
+    assert gaps == [(0, pytest.approx(5, abs=0.1)), (pytest.approx(16, abs=0.1), pytest.approx(18, abs=0.1))]  # half a second is a pause in speech
     cuts = audio.windows(40, 20, gaps)
-    assert cuts[0][1] == pytest.approx(17.5, abs=0.1) and cuts[-1][1] == 40 and all(b - a <= 20 for a, b in cuts)
+    assert audio.windows(610, 600, [(300, 302)]) == [(0, 301), (301, 610)] and audio.windows(595, 600, [(300, 302)]) == [(0, 301), (301, 595)]
+    assert audio.windows(588, 600, []) == [(0, 588)] and audio.windows(589, 600, []) == [(0, 588), (588, 589)]
+    assert audio.windows(1000, 600, [(9, 11), (480, 484), (540, 541)]) == [(0, 482), (482, 1000)]
+    tone = np.sin(2 * np.pi * 440 * np.arange(48_000) / 48_000).astype(np.float32)
+    low = audio.resample(tone, 48_000)
+    assert len(low) == 16_000 and np.abs(low - np.sin(2 * np.pi * 440 * np.arange(16_000) / 16_000))[200:-200].max() < 1e-3
+    assert audio.reusable_mix(done["content"], wav(0.01, 30000), wav(0.02, 30000), done["sha256"])["reused"] and not audio.reusable_mix(b"x", wav(0.01, 30000), wav(0.02, 30000), done["sha256"])["reused"]
+    assert cuts[0][1] == pytest.approx(17, abs=0.1) and cuts[-1][1] == 40 and all(b - a <= 20 for a, b in cuts)
     joined = audio.stitch([(0, {"text": "a", "words": [{"text": "a", "start_s": 0, "end_s": 1, "speaker": "x"}]}), (10, {"text": " b", "words": [{"text": "b", "start_s": 1, "end_s": 2, "speaker": "x"}]})])
     assert joined["text"] == "a b" and [(w["start_s"], w["speaker"]) for w in joined["words"]] == [(0, "window0:x"), (11, "window1:x")]
 
