@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparvox.plans import evaluation
+from sparvox.plans import evaluation, operations  # noqa: F401  operations adds its queries to evaluation's
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -153,6 +153,15 @@ def overlaps(unions: DataFrame) -> DataFrame:
     return met.groupBy("clip", "reference", "hypothesis").agg(F.sum(F.least("le", "re") - F.greatest("ls", "rs")).alias("seconds"))
 
 
+def jaccard(unions: DataFrame) -> DataFrame:
+    """clip, reference, hypothesis, cost: one minus the time together over the time of either, of every pair of speakers that meet; of others it is 1."""
+    lengths = unions.groupBy("clip", "side", "speaker").agg(F.sum(F.col("end") - F.col("start")).alias("seconds"))
+    r = lengths.where("side = 0").select("clip", F.col("speaker").alias("reference"), F.col("seconds").alias("rt"))
+    h = lengths.where("side = 1").select("clip", F.col("speaker").alias("hypothesis"), F.col("seconds").alias("ht"))
+    both = overlaps(unions).join(r, ["clip", "reference"]).join(h, ["clip", "hypothesis"])
+    return both.select("clip", "reference", "hypothesis", (1 - F.col("seconds") / (F.col("rt") + F.col("ht") - F.col("seconds"))).alias("cost"))
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """rows by clip over all tasks: what is done with a clip is costly beside its rows, so few small partitions would keep cores idle."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "clip")

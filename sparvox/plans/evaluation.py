@@ -132,7 +132,10 @@ SELECT l.toxic, d.source, count(*) AS items, sum(d.n_chars)::BIGINT AS chars FRO
 def labelled_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items by a nullable number and a string dimension."""
     labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
-    return labels.join(docs.select("doc_id", "source", "n_chars"), "doc_id").groupBy("toxic", "source").agg(F.count("*").alias("items"), F.sum("n_chars").alias("chars"))
+    both = labels.join(docs.select("doc_id", "source", "n_chars"), "doc_id")
+    keys = [scoring.dimension(both, c).alias(f"by_{c}") for c in ("toxic", "source")]
+    sums = both.groupBy(*keys).agg(F.first("toxic").alias("toxic"), F.first("source").alias("source"), F.count("*").alias("items"), F.sum("n_chars").alias("chars"))
+    return sums.drop("by_toxic", "by_source")
 
 
 POOL = """
@@ -232,6 +235,57 @@ def word_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return milliseconds(intervals.word_activity(speech(spark, sf_dir)))
 
 
+# Two speakers on each side, so that SQL can try both assignments.
+
+
+def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return speech(spark, sf_dir).withColumn("speaker", (F.col("speaker").cast("long") % 2).cast("string"))
+
+
+HALVES = f"""WITH {SPEECH}, halves AS (SELECT clip, side, (speaker::BIGINT % 2)::VARCHAR AS speaker, s, e FROM speech), {merged(0, "halves")}"""
+PAIRS = """
+o AS (SELECT r.clip, r.speaker AS reference, h.speaker AS hypothesis, sum(least(r.e, h.e) - greatest(r.s, h.s))::BIGINT AS t FROM u r JOIN u h ON r.clip = h.clip AND r.side = 0 AND h.side = 1 AND r.s < h.e AND h.s < r.e GROUP BY ALL),
+d AS (SELECT clip, side, speaker, sum(e - s) AS t FROM u GROUP BY ALL)"""
+
+
+@query(f"""{HALVES}, {PAIRS},
+b AS (SELECT DISTINCT clip, unnest([s, e]) AS t FROM u),
+a AS (SELECT clip, t AS t0, lead(t) OVER (PARTITION BY clip ORDER BY t) AS t1 FROM b),
+n AS (SELECT a.clip, t1 - t0 AS w, count(*) FILTER (WHERE side = 0) AS r, count(*) FILTER (WHERE side = 1) AS h FROM a JOIN u ON u.clip = a.clip AND u.s <= t0 AND t0 < u.e WHERE t1 IS NOT NULL GROUP BY a.clip, t0, t1),
+z AS (SELECT clip, sum(w * greatest(0, r - h)) AS missed, sum(w * greatest(0, h - r)) AS false_alarm, sum(w * least(r, h)) AS common, sum(w * r) AS denominator FROM n GROUP BY clip),
+best AS (SELECT clip, greatest(coalesce(sum(t) FILTER (WHERE reference = hypothesis), 0), coalesce(sum(t) FILTER (WHERE reference <> hypothesis), 0)) AS best FROM o GROUP BY clip)
+SELECT z.clip, missed::BIGINT AS missed, false_alarm::BIGINT AS false_alarm, (common - coalesce(best, 0))::BIGINT AS confusion, denominator::BIGINT AS denominator FROM z LEFT JOIN best ON z.clip = best.clip
+""")
+def der_two_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diarization errors of every clip, users taken for two speakers."""
+    return in_ms(intervals.der(halves(spark, sf_dir)).select("clip", "missed", "false_alarm", "confusion", "denominator"), "missed", "false_alarm", "confusion", "denominator")
+
+
+@query(f"""{HALVES}, {PAIRS},
+c AS (SELECT o.clip, reference, hypothesis, o.t::DOUBLE / (r.t + h.t - o.t) AS gain FROM o
+  JOIN d r ON r.clip = o.clip AND r.side = 0 AND r.speaker = reference JOIN d h ON h.clip = o.clip AND h.side = 1 AND h.speaker = hypothesis),
+best AS (SELECT clip, greatest(coalesce(sum(gain) FILTER (WHERE reference = hypothesis), 0), coalesce(sum(gain) FILTER (WHERE reference <> hypothesis), 0)) AS best FROM c GROUP BY clip),
+k AS (SELECT clip, count(DISTINCT speaker) FILTER (WHERE side = 0) AS n FROM u GROUP BY clip)
+SELECT k.clip, round(n - coalesce(best, 0), 6) AS error_sum, n AS reference_speakers FROM k LEFT JOIN best ON best.clip = k.clip
+""")
+def jer_two_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jaccard errors of every clip, users taken for two speakers."""
+    return intervals.jer(halves(spark, sf_dir)).select("clip", F.round("error_sum", 6).alias("error_sum"), "reference_speakers")
+
+
+@query(f"""WITH {SPEECH} SELECT clip, side, speaker, greatest(0, s)::BIGINT AS start, least(43200000, e)::BIGINT AS "end" FROM speech WHERE least(43200000, e) > greatest(0, s)""")
+def clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speech of each day's first half."""
+    return milliseconds(intervals.clipped(speech(spark, sf_dir), 43_200.0))
+
+
+@query("""SELECT event_id, coalesce(event_type <> 'click' AND isfinite(value) AND value >= 0 AND value * 2 - 40 >= value, false) AS ok FROM events""")
+def valid_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether what events stand for is a segment: clicks have no speaker, some times are negative or reversed."""
+    events = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "click", " ").otherwise(F.col("event_type")).alias("speaker"), F.col("value").alias("start"), (F.col("value") * 2 - 40).alias("end"))
+    return events.select("event_id", intervals.valid().alias("ok"))
+
+
 def components(collar: int) -> str:
     masks = f"k AS (SELECT clip, x - {collar} AS a, x + {collar} AS b FROM (SELECT clip, unnest([s, e]) AS x FROM u WHERE side = 0))," if collar else ""
     more = "UNION SELECT clip, unnest([a, b]) FROM k" if collar else ""
@@ -277,13 +331,8 @@ SELECT o.clip, o.reference, o.hypothesis, round(1 - o.seconds::DOUBLE / (r.t + h
 JOIN d r ON r.clip = o.clip AND r.side = 0 AND r.speaker = o.reference JOIN d h ON h.clip = o.clip AND h.side = 1 AND h.speaker = o.hypothesis""")
 def jer_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jaccard errors of the pairs of speakers that meet."""
-    unions = intervals.canonical_union(speech(spark, sf_dir))
-    lengths = in_ms(unions.groupBy("clip", "side", "speaker").agg(F.sum(F.col("end") - F.col("start")).alias("t")), "t")
-    met = in_ms(intervals.overlaps(unions), "seconds")
-    r = lengths.where("side = 0").select("clip", F.col("speaker").alias("reference"), F.col("t").alias("rt"))
-    h = lengths.where("side = 1").select("clip", F.col("speaker").alias("hypothesis"), F.col("t").alias("ht"))
-    cost = 1 - F.col("seconds") / (F.col("rt") + F.col("ht") - F.col("seconds"))
-    return met.join(r, ["clip", "reference"]).join(h, ["clip", "hypothesis"]).select("clip", "reference", "hypothesis", F.round(cost, 9).alias("cost"))
+    found = intervals.jaccard(intervals.canonical_union(speech(spark, sf_dir)))
+    return found.withColumn("cost", F.round("cost", 9))
 
 
 @query()
@@ -363,8 +412,10 @@ def shard_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents of two languages."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("language"))
-    ids = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("sample_id"))
-    chosen = scoring.select_clips(docs, languages=["fr", "DE"]).join(ids.distinct(), "sample_id", "left_semi")
+    languages = ["fr", "DE"]
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("sample_id"))
+    ids = labelled.join(scoring.select_clips(docs, languages=languages), "sample_id", "left_semi")
+    chosen = scoring.select_clips(docs, languages=languages, ids=ids)
     return chosen.select(F.col("sample_id").alias("doc_id"), F.col("language").alias("lang"))
 
 
@@ -392,10 +443,9 @@ def resume_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, l.doc_id IS NULL AS missing, d.doc_id IS NULL AS extra FROM documents d FULL JOIN (SELECT doc_id * 2 AS doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL OR d.doc_id IS NULL""")
 def expected_returned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is missing from, and what is extra in, a set of ids."""
-    expected = table(spark, sf_dir, "documents").select("doc_id", F.lit(True).alias("e"))
-    returned = table(spark, sf_dir, "labels").select((F.col("doc_id") * 2).alias("doc_id"), F.lit(True).alias("r"))
-    both = expected.join(returned, "doc_id", "full")
-    return both.where("e IS NULL OR r IS NULL").select("doc_id", F.col("r").isNull().alias("missing"), F.col("e").isNull().alias("extra"))
+    expected, returned = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select((F.col("doc_id") * 2).alias("doc_id"))
+    side = lambda a, b, missing: scoring.missing_ids(a, b, "doc_id").select("doc_id", F.lit(missing).alias("missing"), F.lit(not missing).alias("extra"))
+    return side(expected, returned, True).union(side(returned, expected, False))
 
 
 # Languages, clean-up, digests
