@@ -480,7 +480,17 @@ def strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.md5(F.col("t").cast("binary")).alias("digest"), F.length("t").cast("long").alias("n"))
 
 
-@query()
+def _unparenthesized(t: str) -> str:
+    """SQL of as many passes as the tables' texts need; the query itself has no limit."""
+    for _ in range(4):
+        t = f"regexp_replace({t}, '\\([^()]*\\)', ' ', 'g')"
+    return f"translate({t}, '()', '  ')"
+
+
+_BRACES = "regexp_replace(regexp_replace({}, '\\{{[^{{}}]*\\p{{L}}[^{{}}]*\\}}', ' ', 'g'), '\\{{([^{{}}]{{0,200}})\\}}', ' \\1 ', 'g')"
+
+
+@query("SELECT doc_id, md5(" + COLLAPSE.format(TAGS.format(_BRACES.format(_unparenthesized("text")))) + ") AS digest FROM documents")
 def strip_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without braces, tags and parentheses."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text.strip_annotations(text.strip_parentheses(F.col("text"))).alias("t"))
