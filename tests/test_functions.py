@@ -123,3 +123,15 @@ def test_assignment():
             pairs = kernels.assign(costs, maximize)
             assert len(pairs) == k and sum(costs[i][j] for i, j in pairs) == pytest.approx(best)
     assert kernels.assign([]) == []
+
+
+def test_best_matches_equal_assignment():
+    rng = random.Random(2)
+    for _ in range(60):
+        n, m = rng.randrange(1, 7), rng.randrange(1, 7)
+        gains = {(i, j): rng.choice([rng.random() * 9, float(rng.randrange(1, 4))]) for i in range(n) for j in range(m) if rng.random() < 0.5}
+        chosen = kernels.best_matches([(i, j, g) for (i, j), g in gains.items()])
+        assert len({p[0] for p in chosen}) == len({p[1] for p in chosen}) == len(chosen)
+        best = sum(gains.get(x, 0) for x in kernels.assign([[gains.get((i, j), 0.0) for j in range(m)] for i in range(n)], maximize=True))
+        assert abs(sum(p[2] for p in chosen) - best) < 1e-9
+    assert kernels.best_matches([]) == []
