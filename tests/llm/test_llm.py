@@ -830,7 +830,8 @@ def test_pipeline_run_equals_brute_force(spark, docs, reference_encoding, tmp_pa
     root = brute_components({r["doc_id"]: shingle_set(r["text"]) for r in kept}, 80)
     single = [r for r in kept if root[r["doc_id"]] == r["doc_id"]]
     assert 0 < len(single) < len(kept) < len(rows)
-    place = {r["doc_id"]: r["h"] for r in table.select("doc_id", mixing.order_hash("doc_id", "text")[0].alias("h")).collect()}
+    left = spark.createDataFrame([(r["doc_id"], r["text"]) for r in single], "doc_id long, text string")  # the order goes by the texts that the mix is given
+    place = {r["doc_id"]: r["h"] for r in left.select("doc_id", mixing.order_hash("doc_id", "text")[0].alias("h")).collect()}
     want = collections.Counter()
     for r in brute_mix(single, place):
         ids = reference_encoding.encode_ordinary(r["text"])
