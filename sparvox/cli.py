@@ -1,17 +1,22 @@
-"""Command line: normalize, score, manifest, mix-mono, dataset pull, dataset verify, models, pool. Errors end with status 2."""
+"""Command line: normalize, score, manifest, mix-mono, dataset pull, dataset verify, models, run, merge-shards. Errors end with status 2."""
 
 from __future__ import annotations
 
 import argparse
 import hashlib
+import importlib
 import inspect
 import json
 import sys
 from pathlib import Path
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from sparvox import __version__
 from sparvox.functions import kernels, languages, text
-from sparvox.operators import intervals, samples, scoring
+from sparvox.operators import intervals, runs, samples, scoring
+from sparvox.runtime import workers_see_package
 from sparvox.sources import audio, configs, datasets, jsonl
 
 
@@ -60,6 +65,27 @@ def _verify(a) -> dict:
     return {"clips": len(clips), "languages": sorted({c["language"] for c in clips}), "problems": [r.asDict() for r in bad], "selection_sha256": receipt["selection_sha256"]}
 
 
+def _run(a) -> dict:
+    """Transcribes a dataset folder's recordings, which all executors must see, by a backend class; or only says what that would take."""
+    clips, receipt = datasets.load_selection(a.root)
+    spark = session()
+    workers_see_package(spark)
+    rows = [(c["clip_id"], ch, x["path"], float(x["duration_s"])) for c in clips for ch, x in sorted((c.get("audio") or {}).items())]
+    tasks = spark.createDataFrame(rows, "sample_id string, channel string, path string, duration_s double")
+    if a.preflight:
+        return runs.preflight(tasks.select("sample_id", "channel"), tasks.groupBy("sample_id").agg(F.max("duration_s").alias("duration_s")))
+    module, _, name = a.backend.partition(":")
+    backend = getattr(importlib.import_module(module), name)()
+    root = str(Path(a.root).resolve())
+
+    def read(paths: pa.Array) -> pa.Array:
+        return pa.array([(Path(root) / datasets.safe_relative_path(x)).read_bytes() for x in paths.to_pylist()], pa.binary())
+
+    spec = {"dataset": receipt["source_id"], "revision": receipt["resolved_revision"], "selection_sha256": receipt["selection_sha256"], "config": {"backend": a.backend}}
+    wanted = tasks.select("sample_id", "channel", F.arrow_udf(read, "binary")("path").alias("content"))
+    return runs.execute(spark, wanted, backend, a.output, spec, shard=a.shard, shards=a.shards)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sparvox", description=__doc__)
     sub = p.add_subparsers(required=True)
@@ -77,6 +103,9 @@ def parser() -> argparse.ArgumentParser:
     verb("manifest", lambda a: normalization_manifest())
     verb("models", lambda a: {k: {"provider": r["provider"], "tasks": list(r["tasks"])} for k, r in configs.model_catalog().items()})
     verb("mix-mono", _mix, (("ch1",), {}), (("ch2",), {}), (("output",), {}), (("--expect-sha256",), {}))
+    whole = {"type": int}
+    verb("run", _run, (("root",), {}), (("output",), {}), (("--backend",), {"default": ""}), (("--shard",), whole | {"default": 0}), (("--shards",), whole | {"default": 1}), (("--preflight",), {"action": "store_true"}))
+    verb("merge-shards", lambda a: runs.merge_runs(session(), a.shards, a.output), (("shards",), {"nargs": "+"}), (("--output",), {"required": True}))
     d = sub.add_parser("dataset").add_subparsers(required=True)
     many = {"action": "append"}
     pull = ((("source",), {}), (("root",), {}), (("--revision",), {"default": "latest"}), (("--language",), many), (("--id",), many), (("--limit",), {"type": int}))

@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__
 from sparvox import cli
+from sparvox.operators import runs
 from sparvox.sources import audio, configs, datasets, jsonl
 from sparvox.streaming import results
 
@@ -164,6 +165,13 @@ def run_cli(capsys, *argv):
     return code, json.loads(capsys.readouterr().out)
 
 
+class Length(runs.Backend):
+    identity = {"name": "length"}
+
+    def transcribe(self, sample_id, channel, content):
+        return {"bytes": len(content)}
+
+
 def test_cli(spark, tmp_path, capsys):
     assert run_cli(capsys, "normalize", "ÉTÉ!", "--language", "fr")[1]["text"] == "été"
     assert run_cli(capsys, "score", "--reference", "a b", "--hypothesis", "a c", "--language", "id")[1]["value"] == 0.5
@@ -179,6 +187,11 @@ def test_cli(spark, tmp_path, capsys):
     (tmp_path / "src" / "manifest.jsonl").write_text(jsonl.dumps(clip()) + "\n")
     assert run_cli(capsys, "dataset", "pull", str(tmp_path / "src"), str(tmp_path / "dst"))[1]["clips"] == 1
     assert run_cli(capsys, "dataset", "verify", str(tmp_path / "dst")) [0] == 0
+    assert run_cli(capsys, "run", str(tmp_path / "dst"), str(tmp_path / "out0"), "--preflight")[1]["tasks"] == 1
+    found = [run_cli(capsys, "run", str(tmp_path / "dst"), str(tmp_path / f"out{k}"), "--backend", "test_sources:Length", "--shard", str(k), "--shards", "2")[1] for k in (0, 1)]
+    assert [m["status"] for m in found] == ["complete"] * 2 and sum(m["coverage"]["successful_total"] for m in found) == 1
+    merged = run_cli(capsys, "merge-shards", str(tmp_path / "out0"), str(tmp_path / "out1"), "--output", str(tmp_path / "all"))[1]
+    assert merged["status"] == "complete" and json.loads(spark.read.parquet(str(tmp_path / "all" / "results")).first()["output"]) == {"bytes": len(wav())}
     for bad in (["normalize", "x", "--profile", "none"], ["score", "--reference", "a", "--language", "zh", "--metric", "wer"], ["score", "--input", str(tmp_path / "a.wav")]):
         with pytest.raises(SystemExit) as e:
             cli.main(bad)
