@@ -28,7 +28,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +43,16 @@ END = 0xFF
 SHARE = 1 / (1 << 22)
 #: Hash of the end token, which no word has.
 END_WORD = 0
-#: Bytes that are worked on at once; a longer document is taken by itself.
+#: Bytes whose counts are summed up before they are sent, and bytes that are Python objects and temporary arrays (some 60 bytes for each) at once;
+#: a longer document is taken by itself.
 CHUNK = 1 << 21
+PIECE = 1 << 18
+#: Counts in an Arrow batch.
+SENT = 1 << 16
+#: Rows of an Arrow batch that are Python objects at once.
+ROWS = 128
 
-_hash = WordHashes()
+_hash = WordHashes(1 << 16)
 _M = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(8)
 
@@ -80,32 +85,52 @@ def signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
-def held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """Ids and words of documents, some CHUNK bytes at once."""
+def held(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list[list[bytes]]]]:
+    """Ids and words of documents, some so many bytes at once."""
     ids, texts, size = [], [], 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+    for part in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+        for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
             ids.append(doc_id)
             texts.append(words(text) if text else [])
             size += len(text or b"")
-            if size >= CHUNK:
+            if size >= most:
                 yield ids, texts
                 ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
 
 
+def tallied(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often each is there; sorts the array in its place."""
+    keys.sort()
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
 def count_batches(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n): kind 0 windows, 1 words; partial counts."""
-    for _, texts in held(batches):
-        grams, counts = np.unique(windows([spelled(t) for t in texts], order)[0], return_counts=True)
-        tally: Counter = Counter()
+    """(kind, key, n): kind 0 windows, 1 words; partial counts of some CHUNK bytes, SENT at once."""
+
+    def flush(grams: list[np.ndarray], tally: Counter, ends: int) -> Iterator[pa.RecordBatch]:
+        merged = np.concatenate(grams)
+        grams.clear()
+        hashes = np.array([_hash[w] for w in tally] + [END_WORD], np.uint64)
+        for kind, (keys, sums) in ((0, tallied(merged)), (1, (hashes, np.array([*tally.values(), ends], np.int64)))):
+            for k in range(0, len(keys), SENT):
+                own = keys[k : k + SENT]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), signed(own), pa.array(sums[k : k + SENT].astype(np.int64))], ["kind", "key", "n"])
+
+    grams, tally, ends, size = [], Counter(), 0, 0
+    for _, texts in held(batches, PIECE):
+        grams.append(windows([spelled(t) for t in texts], order)[0])
         for t in texts:
             tally.update(t)
-        hashes = np.array([_hash[w] for w in tally] + [END_WORD], np.uint64)
-        n = np.array([*tally.values(), len(texts)], np.int64)
-        for kind, keys, sums in ((0, grams, counts), (1, hashes, n)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), signed(keys), pa.array(sums.astype(np.int64))], ["kind", "key", "n"])
+        ends += len(texts)
+        size += len(grams[-1])
+        if size >= CHUNK:
+            yield from flush(grams, tally, ends)
+            grams, tally, ends, size = [], Counter(), 0, 0
+    if grams:
+        yield from flush(grams, tally, ends)
 
 
 class Table:
@@ -207,6 +232,7 @@ class Model:
         self.entries = Table(arrays["keys"])
         self.words = Table(arrays["words"]) if "words" in arrays else None
         if not self.whole:
+            self.direct = np.append(arrays["direct"], 0.0)
             return
         self.contexts = Table(arrays["contexts"])
         self.last = math.log10(max(1, 256 - int(arrays["symbols"][0])))
@@ -244,7 +270,7 @@ class Model:
             none = [np.empty(0, np.int64)] * len(texts)
             return np.add.reduceat(self.symbols(grams), starts), none, none
         at = self.entries.find(tagged(grams, self.order + 1))
-        sums = np.add.reduceat(np.append(self.a["direct"], 0.0)[at], starts)
+        sums = np.add.reduceat(self.direct[at], starts)
         far = np.flatnonzero(at < 0)
         text, keys = np.searchsorted(starts, far, "right") - 1, grams[far]
         by = np.lexsort((keys, text))
@@ -255,15 +281,19 @@ class Model:
         return sums, np.split(keys[first].view(np.int64), cuts), np.split(times, cuts)
 
 
-@lru_cache(maxsize=1)
-def load(uri: str, order: int) -> Model:
-    import io
+#: The model that this worker loaded last.
+_loaded: dict[tuple[str, int], Model] = {}
+
 
+def load(uri: str, order: int) -> Model:
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri)
-    with system.open_input_stream(path) as source:
-        return Model(dict(np.load(io.BytesIO(source.read()))), order)
+    if (uri, order) not in _loaded:
+        _loaded.clear()  # before the next is read, so that there are never two
+        system, path = fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as source:
+            _loaded[uri, order] = Model(dict(np.load(source)), order)
+    return _loaded[uri, order]
 
 
 def save_batches(batches: Iterator[pa.RecordBatch], grams_uri: str, words_uri: str, uri: str, order: int, whole: bool) -> Iterator[pa.RecordBatch]:
@@ -276,7 +306,7 @@ def save_batches(batches: Iterator[pa.RecordBatch], grams_uri: str, words_uri: s
 
     def rows(where: str) -> dict[str, np.ndarray]:
         system, path = fs.FileSystem.from_uri(where)
-        found = ds.dataset(path, filesystem=system, format="parquet").to_table()
+        found = ds.dataset(path, filesystem=system, format="parquet").to_table(use_threads=False)
         return {k: found.column(k).to_numpy() for k in found.column_names}
 
     for batch in batches:
@@ -311,7 +341,7 @@ def score_batches(batches: Iterator[pa.RecordBatch], uri: str, order: int, total
     den = math.log10(total + 0.1 * (distinct + 1))
     counts = np.append(model.a["counts"], 0)
     logs = np.log10(counts + 0.1) - den
-    for ids, texts in held(batches):
+    for ids, texts in held(batches, PIECE):
         score, far, times = model.score(texts)
         lengths = np.array([len(t) + 1 for t in texts])
         hashes = np.fromiter((h for t in texts for h in (*map(_hash.__getitem__, t), END_WORD)), np.uint64, int(lengths.sum()))

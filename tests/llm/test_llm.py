@@ -13,10 +13,15 @@ import math
 import random
 import re
 import time
+import tracemalloc
+import types
+import weakref
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -370,6 +375,44 @@ def test_ppm_odd_rows(spark):
     assert (alone["train_tokens"], alone["n_known"], alone["score"]) == (0, 0, pytest.approx(-4 * math.log10(256)))
 
 
+def test_ppm_workers_memory_is_bounded(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(60_000)}" for _ in range(300)).encode() for _ in range(1600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "text"])
+    arrays = {"keys": np.empty(0, np.uint64), "direct": np.empty(0), "words": np.empty(0, np.uint64), "counts": np.empty(0, np.int64)}
+    monkeypatch.setattr(ppm, "load", lambda uri, order, model=ppm.Model(arrays, 5): model)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
+    count, far, peaks = collections.Counter(), collections.Counter(), []
+    for run in (lambda: ppm.count_batches(iter([batch]), 5), lambda: ppm.score_batches(iter([batch]), "", 5, 1, 1)):
+        ppm._hash.clear()
+        tracemalloc.start()
+        most = 0
+        for out in run():
+            most = max(most, tracemalloc.get_traced_memory()[1])
+            if out.num_columns == 3:  # Arrow's own memory isn't traced
+                count.update({0: pc.sum(pc.if_else(pc.equal(out["kind"], 0), out["n"], 0)).as_py(), 1: pc.sum(pc.if_else(pc.equal(out["kind"], 1), out["n"], 0)).as_py()})
+            else:
+                far.update(rows=out.num_rows, windows=pc.sum(out["times"].flatten()).as_py(), tokens=pc.sum(out["n_tokens"]).as_py())
+        peaks.append(most >> 20)
+        tracemalloc.stop()
+    symbols = sum(len(t) + 1 for t in texts)
+    assert (count[0], count[1]) == (symbols, 301 * len(texts))
+    assert far == {"rows": len(texts), "windows": symbols, "tokens": 301 * len(texts)}
+    assert max(peaks) < 64, peaks
+
+
+def test_ppm_workers_hold_one_model(tmp_path):
+    arrays = ppm.build([])
+    for k in range(2):
+        np.savez(tmp_path / f"{k}.npz", **arrays)
+    first = weakref.ref(ppm.load(f"file://{tmp_path}/0.npz", 5))
+    assert ppm.load(f"file://{tmp_path}/0.npz", 5) is first()
+    with pytest.raises(FileNotFoundError):
+        ppm.load(f"file://{tmp_path}/none.npz", 5)
+    assert first() is None
+    assert ppm.load(f"file://{tmp_path}/1.npz", 5).order == 5
+
+
 def test_ppm_adaptive(spark):
     df = spark.createDataFrame([(1, "la " * 200), (2, None)], "doc_id long, text string")
     bits = {r["doc_id"]: r["code_bits"] for r in ppm.adaptive(df).collect()}
