@@ -135,3 +135,18 @@ def test_best_matches_equal_assignment():
         best = sum(gains.get(x, 0) for x in kernels.assign([[gains.get((i, j), 0.0) for j in range(m)] for i in range(n)], maximize=True))
         assert abs(sum(p[2] for p in chosen) - best) < 1e-9
     assert kernels.best_matches([]) == []
+
+
+def test_best_flow_equals_assignment_of_every_copy():
+    rng = random.Random(5)
+    for _ in range(60):
+        n, m = rng.randrange(1, 6), rng.randrange(1, 6)
+        supply, demand = ([rng.randrange(1, 5) for _ in range(k)] for k in (n, m))
+        gains = {(i, j): rng.choice([rng.random() * 9, float(rng.randrange(1, 4))]) for i in range(n) for j in range(m) if rng.random() < 0.6}
+        pairs = list(gains)
+        rng.shuffle(pairs)
+        i, j = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        found = kernels.best_flow(i, j, np.array([gains[p] for p in pairs]), np.array(supply), np.array(demand))
+        rows, columns = ([k for k, q in enumerate(x) for _ in range(q)] for x in (supply, demand))
+        table = [[gains.get((a, b), 0.0) for b in columns] for a in rows]
+        assert found == pytest.approx(sum(table[a][b] for a, b in kernels.assign(table, maximize=True)))

@@ -403,3 +403,34 @@ def test_deep_parentheses(spark):
     deep = "a " + "(" * 40 + "x" + ")" * 40 + " b ) c ("
     got = spark.createDataFrame([(deep,), (None,), ("",), ("))((",)], "t string").select(text.strip_parentheses(F.col("t"))).collect()
     assert [r[0] for r in got] == [kernels.strip_parentheses(deep), None, "", kernels.strip_parentheses("))((")]
+
+
+def test_pairs_of_speakers_are_neither_shuffled_nor_collected(spark, monkeypatch):
+    rng = random.Random(8)
+
+    def made(names):
+        starts = [(rng.choice(names), round(rng.uniform(0, 9), 3)) for _ in range(9)]
+        return [(s, a, round(a + rng.uniform(0.05, 3), 3)) for s, a in starts]
+
+    one = [(made("ABC"), made("XYZ")) for _ in range(5)]
+    copies = [tuple([(f"{s}{k}", a, b) for s, a, b in side for k in range(40)] for side in clip) for clip in one]
+    small, large = table(spark, one), table(spark, copies)
+    for f in (lambda t: intervals.der(t, 0.1), intervals.jer):
+        column = "numerator" if f is not intervals.jer else "error_sum"
+        a, b = ({r["clip"]: r[column] for r in f(t).collect()} for t in (small, large))
+        assert b == pytest.approx({k: 40 * v for k, v in a.items()})
+        assert "collect_list" not in f(large)._jdf.queryExecution().optimizedPlan().toString()
+    unions = intervals.canonical_union(large)
+    costs = lambda: {tuple(r)[:3]: r["cost"] for r in intervals.jaccard(unions).collect()}
+    whole = costs()
+    plan = intervals.overlaps(unions)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("MapInArrow")]
+    monkeypatch.setattr(intervals, "PART_ROWS", 50)  # several parts a clip
+    for limit in (1 << 20, 100):
+        monkeypatch.setattr(intervals, "PAIRS", limit)
+        assert costs() == pytest.approx(whole)
+        rows = unions.where("clip = 'c0'").orderBy("side", "start", "speaker").toArrow()
+        found = list(intervals.together(intervals.Side(rows, 0), intervals.Side(rows, 1)))
+        assert len(found) > 1 or limit > 100
+        got = sum(len(x[0]) for x in found)
+        assert got == len({(int(i), int(j)) for x in found for i, j in zip(x[0], x[1])}) == sum(r[0] == "c0" for r in whole)
