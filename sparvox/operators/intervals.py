@@ -117,6 +117,17 @@ def der_parts(timelines: DataFrame, collar: float = 0.0) -> DataFrame:
 PART_ROWS, PARTS, PAIRS = 1 << 14, 16, 1 << 20
 
 
+def stretches(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, int, int]]:
+    """Keys, first row and end of each run of rows with the same keys."""
+    changes = np.zeros(batch.num_rows - 1, bool)
+    for k in keys:
+        codes = batch.column(k).dictionary_encode("encode").indices.to_numpy()
+        changes |= codes[1:] != codes[:-1]
+    cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        yield tuple(batch.column(k)[a].as_py() for k in keys), a, b
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """Keys and rows of each group, of batches in order of the keys; one group at a time is in memory."""
     held: list[pa.RecordBatch] = []
@@ -124,13 +135,7 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple
     for batch in batches:
         if not batch.num_rows:
             continue
-        changes = np.zeros(batch.num_rows - 1, bool)
-        for k in keys:
-            codes = batch.column(k).dictionary_encode("encode").indices.to_numpy()
-            changes |= codes[1:] != codes[:-1]
-        cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            key = tuple(batch.column(k)[a].as_py() for k in keys)
+        for key, a, b in stretches(batch, keys):
             if held and key != now:
                 yield now, pa.Table.from_batches(held)
                 held = []

@@ -6,11 +6,16 @@ each distinct text, edits in another); the only shuffles are the group-bys.
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparvox.functions import kernels, normalize, text
 from sparvox.functions.languages import canonical_language, metric_for, public_metric
@@ -138,6 +143,51 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def ids_digests(rows: DataFrame, key: str, identity: str) -> DataFrame:
+    """key, digest: text.ids_digest of each group's ids, for groups of any size.
+
+    Ids are sorted by range, and each batch of sorted ids goes on as one compressed piece of the JSON array, so what meets in a group's
+    task is the text that its hash reads, a piece at a time.
+    """
+    spoken = rows.where(F.col(identity).isNotNull()).select(key, F.col(identity).alias("id"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = T.StructField(key, rows.schema[key].dataType)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from sparvox.operators.intervals import stretches
+
+        n, task = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            for _, a, b in stretches(batch, [key]) if batch.num_rows else ():
+                data = zlib.compress(",".join(batch.column("json").slice(a, b - a).to_pylist()).encode(), 1)
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(a, 1), pa.array([task]), pa.array([n]), pa.array([data])], [key, "task", "n", "data"])
+                n += 1
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = now = None
+
+        def ended() -> pa.RecordBatch:
+            held[0].update(b"]")
+            return pa.RecordBatch.from_arrays([held[1], pa.array([held[0].hexdigest()])], [key, "digest"])
+
+        for batch in batches:
+            for i, data in enumerate(batch.column("data")):
+                if held is None or batch.column(key)[i].as_py() != now:
+                    if held:
+                        yield ended()
+                    held, now = (hashlib.sha256(b"["), batch.column(key).slice(i, 1)), batch.column(key)[i].as_py()
+                else:
+                    held[0].update(b",")
+                held[0].update(zlib.decompress(data.as_py()))
+        if held:
+            yield ended()
+
+    json = F.to_json(F.array("id"))
+    ranges = spoken.repartitionByRange(tasks, key, "id").sortWithinPartitions(key, "id").select(key, F.substr(json, F.lit(2), F.length(json) - 2).alias("json"))
+    parts = ranges.mapInArrow(pieces, T.StructType([own, T.StructField("task", T.LongType()), T.StructField("n", T.LongType()), T.StructField("data", T.BinaryType())]))
+    return parts.repartition(tasks, key).sortWithinPartitions(key, "task", "n").mapInArrow(hashed, T.StructType([own, T.StructField("digest", T.StringType())]))
+
+
 def pool(scores: DataFrame, models: DataFrame, cohort: str = "matched") -> DataFrame:
     """model, n_clips, available_clips, numerator, denominator, value, clips_sha256 for every model of the roster.
 
@@ -148,14 +198,18 @@ def pool(scores: DataFrame, models: DataFrame, cohort: str = "matched") -> DataF
         raise ValueError("cohort is matched or available")
     roster = models.select("model").distinct()
     own = scores.join(roster, "model", "left_semi")
-    available = own.groupBy("model").agg(F.count_distinct("sample_id").alias("available_clips"))
+    ids = there = own.select("model", "sample_id").distinct()
     size = F.broadcast(roster.agg(F.count("*").alias("roster")))  # one row
     if cohort == "matched":
-        full = own.groupBy("sample_id").agg(F.count_distinct("model").alias("models")).crossJoin(size).where("models = roster")
-        own = own.join(full.select("sample_id"), "sample_id", "left_semi")
+        full = there.where("sample_id IS NOT NULL").groupBy("sample_id").agg(F.count("*").alias("models")).crossJoin(size).where("models = roster").select("sample_id")
+        own, ids = own.join(full, "sample_id", "left_semi"), there.join(full, "sample_id", "left_semi")
+    clips = lambda x, name: x.groupBy("model").agg(F.count("sample_id").alias(name))
     exact = lambda c: F.sum(F.col(c).cast("decimal(28,6)")).cast("double")
-    sums = own.groupBy("model").agg(F.count_distinct("sample_id").alias("n_clips"), exact("numerator").alias("numerator"), exact("denominator").alias("denominator"), text.ids_digest(F.collect_set(F.col("sample_id").cast("string"))).alias("clips_sha256"))
-    out = roster.join(available, "model", "left").join(sums, "model", "left")
+    sums = own.groupBy("model").agg(exact("numerator").alias("numerator"), exact("denominator").alias("denominator"))
+    digests = ids_digests(ids.withColumn("sample_id", F.col("sample_id").cast("string")), "model", "sample_id").withColumnRenamed("digest", "clips_sha256")
+    out = roster
+    for part in (clips(there, "available_clips"), clips(ids, "n_clips"), sums, digests):
+        out = out.join(part, "model", "left")
     out = out.fillna(0, ["available_clips", "n_clips"]).fillna(0.0, ["numerator", "denominator"])
     none = F.sha2(F.lit("[]"), 256)
     return out.select("model", "n_clips", "available_clips", "numerator", "denominator", F.when(F.col("denominator") != 0, F.col("numerator") / F.col("denominator")).alias("value"), F.coalesce("clips_sha256", none).alias("clips_sha256"))

@@ -520,8 +520,9 @@ def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT lang, sha256('[' || string_agg('"' || doc_id || '"', ',' ORDER BY '"' || doc_id || '"') || ']') AS digest FROM documents GROUP BY lang""")
 def clip_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of each language's sorted ids: one array of ids for each group, as the digest's definition has it."""
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(text.ids_digest(F.collect_list(F.col("doc_id").cast("string"))).alias("digest"))
+    """Digest of each language's sorted ids."""
+    ids = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").cast("string").alias("doc_id"))
+    return scoring.ids_digests(ids, "lang", "doc_id")
 
 
 @query("""SELECT role, count(*) AS tasks, count(DISTINCT conv_id) AS clips, sum(length(text))::BIGINT AS chars, min(turn) AS first_turn FROM conversations GROUP BY role""")

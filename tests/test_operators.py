@@ -434,3 +434,15 @@ def test_pairs_of_speakers_are_neither_shuffled_nor_collected(spark, monkeypatch
         assert len(found) > 1 or limit > 100
         got = sum(len(x[0]) for x in found)
         assert got == len({(int(i), int(j)) for x in found for i, j in zip(x[0], x[1])}) == sum(r[0] == "c0" for r in whole)
+
+
+def test_digests_of_ids_in_pieces(spark):
+    rng = random.Random(3)
+    ids = [(rng.choice(["a", "b", None]), rng.choice(["", 'q"', "back\\"]) + str(rng.randrange(4000))) for _ in range(5000)] + [("a", None)]
+    rows = spark.createDataFrame(ids, "model string, id string")
+    want = {r[0]: r[1] for r in rows.groupBy("model").agg(text.ids_digest(F.collect_list("id"))).collect()}
+    found = scoring.ids_digests(rows, "model", "id")
+    assert {r["model"]: r["digest"] for r in found.collect()} == want and len(want) == 3
+    scores = rows.where("id IS NOT NULL AND model IS NOT NULL").selectExpr("id AS sample_id", "model", "1.0D AS numerator", "1.0D AS denominator")
+    for cohort in ("matched", "available"):
+        assert "collect_" not in scoring.pool(scores, scores.select("model"), cohort)._jdf.queryExecution().optimizedPlan().toString()
