@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparvox.functions import text
 from sparvox.operators import runs, scoring
 from sparvox.plans.evaluation import counted, query, table
-from sparvox.runtime import shared_path
+from sparvox.runtime import cut, shared_path
 from sparvox.sources import jsonl
 
 SHARD = "(('0x' || substr(sha256({} || chr(0) || {}), 1, 16))::UBIGINT % {})::INT"
@@ -30,9 +30,9 @@ def shard_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey::VARCHAR AS sample_id, l_linenumber::VARCHAR AS channel, max(CASE WHEN l_returnflag = 'R' THEN 'failed' END) AS error FROM lineitem GROUP BY 1, 2")
 def merged_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five shards' results as one run's."""
-    whole = results(spark, sf_dir).groupBy("sample_id", "channel").agg(F.max("error").alias("error"))  # each task once
-    shard = text.shard_of(F.col("sample_id"), F.col("channel"), 5)
-    return runs.merge_shards([whole.where(shard == k) for k in range(5)], whole.select("sample_id", "channel"))
+    once = results(spark, sf_dir).groupBy("sample_id", "channel").agg(F.max("error").alias("error"))
+    whole = cut(once.withColumn("shard", text.shard_of(F.col("sample_id"), F.col("channel"), 5)))  # else every shard's reader works it out again
+    return runs.merge_shards([whole.where(F.col("shard") == k).drop("shard") for k in range(5)], whole.select("sample_id", "channel"))
 
 
 @query("""SELECT sample_id, model, n FROM (SELECT l_orderkey AS sample_id, l_returnflag AS model, l_linenumber::BIGINT AS n,

@@ -446,3 +446,24 @@ def test_digests_of_ids_in_pieces(spark):
     scores = rows.where("id IS NOT NULL AND model IS NOT NULL").selectExpr("id AS sample_id", "model", "1.0D AS numerator", "1.0D AS denominator")
     for cohort in ("matched", "available"):
         assert "collect_" not in scoring.pool(scores, scores.select("model"), cohort)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shards_are_merged_after_one_check(spark):
+    rows = [(f"s{k}", "a", None) for k in range(6)]
+    shard = lambda r: spark.createDataFrame(r, "sample_id string, channel string, error string")
+    todo = shard(rows).select("sample_id", "channel")
+    assert runs.merge_shards([shard(rows[:2]), shard(rows[2:])], todo.union(todo)).count() == 6
+    with pytest.raises(ValueError, match="two shards.*s1"):
+        runs.merge_shards([shard(rows[:2]), shard(rows[1:] + [("x", "a", None)])], todo)
+    for bad in (("x", "a", None), (None, "a", None)):
+        with pytest.raises(ValueError, match="unexpected"):
+            runs.merge_shards([shard([*rows[:2], bad])], todo.union(shard([bad]).select(*todo.columns)) if bad[0] is None else todo)
+    with pytest.raises(ValueError, match="missing.*s5"):
+        runs.merge_shards([shard(rows[:5])], todo)
+    aggregates = []
+    made = type(todo).groupBy
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(todo), "groupBy", lambda self, *c: aggregates.append(c) or made(self, *c))
+        patch.setattr(type(todo), "join", lambda *a: pytest.fail("a second pass over the results"))
+        runs.merge_shards([shard(rows)], todo)
+    assert len(aggregates) == 1
