@@ -246,10 +246,12 @@ def permuted(reference: dict[str, list], hypothesis: dict[str, list]) -> tuple[t
     if not size:
         return (0, 0, 0, 0), []
     names = lambda x: [*x, *[None] * (size - len(x))]
-    table = [[kernels.edit_counts(reference.get(r, []), hypothesis.get(h, [])) for h in names(columns)] for r in names(rows)]
-    pairs = kernels.assign([[sum(c[:3]) for c in row] for row in table])
-    counts = tuple(map(sum, zip(*(table[i][j] for i, j in pairs))))
-    return counts, [(names(rows)[i], names(columns)[j]) for i, j in pairs]
+    said = lambda side, name: side.get(name, [])
+    # The choice needs edits only; their kinds are counted for the pairs that are chosen.
+    pairs = kernels.assign([[kernels.distance(said(reference, r), said(hypothesis, h)) for h in names(columns)] for r in names(rows)])
+    chosen = [(names(rows)[i], names(columns)[j]) for i, j in pairs]
+    counts = tuple(map(sum, zip(*(kernels.edit_counts(said(reference, r), said(hypothesis, h)) for r, h in chosen))))
+    return counts, chosen
 
 
 def score_speakers(clips: DataFrame, *, metric: str = "auto", profile: str = "benchmark") -> DataFrame:
@@ -262,8 +264,7 @@ def score_speakers(clips: DataFrame, *, metric: str = "auto", profile: str = "be
         from sparvox.functions.languages import resolve_metric
         from sparvox.operators.scoring import permuted
 
-        out = []
-        for r, h, tag in zip(references.to_pylist(), hypotheses.to_pylist(), tags.to_pylist()):
+        def one(r: list | None, h: list | None, tag: str | None) -> dict:
             _, public, source = resolve_metric(tag, metric)
             sides = []
             for said in (r, h):
@@ -271,8 +272,10 @@ def score_speakers(clips: DataFrame, *, metric: str = "auto", profile: str = "be
                     raise ValueError("speakers need labels and texts")
                 sides.append({name: kernels.tokens(kernels.normalize(words, tag, profile), source) for name, words in said or ()})
             counts, pairs = permuted(*sides)
-            out.append({"metric": f"cp{source}", **dict(zip(COUNTS, counts)), "assignment": [{"reference": a, "hypothesis": b} for a, b in pairs]})
-        return pa.array(out, pa.struct([("metric", pa.string()), *((c, pa.int64()) for c in COUNTS), ("assignment", pa.list_(pa.struct([("reference", pa.string()), ("hypothesis", pa.string())])))]))
+            return {"metric": f"cp{source}", **dict(zip(COUNTS, counts)), "assignment": [{"reference": a, "hypothesis": b} for a, b in pairs]}
+
+        kind = pa.struct([("metric", pa.string()), *((c, pa.int64()) for c in COUNTS), ("assignment", pa.list_(pa.struct([("reference", pa.string()), ("hypothesis", pa.string())])))])
+        return normalize.mapped(one, kind, references, hypotheses, tags)
 
     kind = f"struct<metric:string,{','.join(f'{c}:long' for c in COUNTS)},assignment:array<struct<reference:string,hypothesis:string>>>"
     scored = clips.withColumn("__cp", F.arrow_udf(run, kind)("reference", "hypothesis", "language"))

@@ -467,3 +467,11 @@ def test_shards_are_merged_after_one_check(spark):
         patch.setattr(type(todo), "join", lambda *a: pytest.fail("a second pass over the results"))
         runs.merge_shards([shard(rows)], todo)
     assert len(aggregates) == 1
+
+
+def test_kinds_of_edits_are_counted_for_chosen_speakers_only(monkeypatch):
+    counted = []
+    real = kernels.edit_counts
+    monkeypatch.setattr(kernels, "edit_counts", lambda r, h: counted.append(1) or real(r, h))
+    counts, pairs = scoring.permuted({k: [k, "x", "y"] for k in "abc"}, {k: [k.lower(), "x"] for k in "CBA"})
+    assert counts == (0, 3, 0, 6) and pairs == [("a", "A"), ("b", "B"), ("c", "C")] and len(counted) == 3
