@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +15,32 @@ from sparvox.functions.languages import canonical_language
 COUNTS = "struct<substitutions:long,deletions:long,insertions:long,hits:long>"
 
 
+#: Rows of a batch that are Python objects at once; the rest stays in Arrow.
+SLICE = 128
+
+
+def objects(rows: pa.Array) -> list:
+    """rows.to_pylist(); lists of strings by way of one flat array, which is several times as fast."""
+    if not (pa.types.is_list(rows.type) and pa.types.is_string(rows.type.value_type)):
+        return rows.to_pylist()
+    flat, out, at = rows.flatten().to_numpy(zero_copy_only=False).tolist(), [], 0
+    for n in pc.list_value_length(rows).to_pylist():
+        out.append(None if n is None else flat[at : at + n])
+        at += n or 0
+    return out
+
+
+def mapped(apply: Callable, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """apply over the rows of columns, SLICE rows at a time."""
+    parts = (zip(*(objects(c.slice(k, SLICE)) for c in columns)) for k in range(0, len(columns[0]), SLICE))
+    return pa.concat_arrays([pa.array([], kind), *(pa.array([apply(*row) for row in rows], kind) for rows in parts)])
+
+
 def each(apply: Callable, returns: str) -> Callable[..., Column]:
     """A column function from a Python function of one row's values; Arrow batches in and out. Null in, null out."""
 
     def run(*columns: pa.Array) -> pa.Array:
-        rows = zip(*(c.to_pylist() for c in columns))
-        return pa.array([None if None in row else apply(*row) for row in rows], _TYPES.get(returns, pa.string()))
+        return mapped(lambda *row: None if None in row else apply(*row), _TYPES.get(returns, pa.string()), *columns)
 
     if returns == COUNTS:
 
@@ -27,8 +48,8 @@ def each(apply: Callable, returns: str) -> Callable[..., Column]:
             from sparvox.functions import kernels
 
             names = ("substitutions", "deletions", "insertions", "hits")
-            found = [None if x is None or y is None else dict(zip(names, kernels.edit_counts(x, y))) for x, y in zip(a.to_pylist(), b.to_pylist())]
-            return pa.array(found, pa.struct([(k, pa.int64()) for k in names]))
+            counted = lambda x, y: None if x is None or y is None else dict(zip(names, kernels.edit_counts(x, y)))
+            return mapped(counted, pa.struct([(k, pa.int64()) for k in names]), a, b)
 
         return F.arrow_udf(one, COUNTS)
     return F.arrow_udf(run, returns)
@@ -44,8 +65,7 @@ def normalized(text: Column, language: Column, profile: str = "benchmark") -> Co
     def run(texts: pa.Array, tags: pa.Array) -> pa.Array:
         from sparvox.functions import kernels
 
-        found = zip(texts.to_pylist(), tags.to_pylist())
-        return pa.array([None if t is None else kernels.normalize(t, tag, profile) for t, tag in found], pa.string())
+        return mapped(lambda t, tag: None if t is None else kernels.normalize(t, tag, profile), pa.string(), texts, tags)
 
     return F.arrow_udf(run, "string")(text, language)
 
@@ -59,7 +79,7 @@ def by_key(text: Column, key: str) -> Column:
         from sparvox.functions import kernels
 
         apply = kernels.BY_KEY[key]
-        return pa.array([None if t is None else apply(t) for t in texts.to_pylist()], pa.string())
+        return mapped(lambda t: None if t is None else apply(t), pa.string(), texts)
 
     return F.arrow_udf(run, "string")(text)
 
@@ -85,8 +105,7 @@ def token_distance(reference: Column, hypothesis: Column) -> Column:
     def run(references: pa.Array, hypotheses: pa.Array) -> pa.Array:
         from sparvox.functions import kernels
 
-        pairs = zip(references.to_pylist(), hypotheses.to_pylist())
-        return pa.array([None if r is None or h is None else kernels.distance(r, h) for r, h in pairs], pa.int64())
+        return mapped(lambda r, h: None if r is None or h is None else kernels.distance(r, h), pa.int64(), references, hypotheses)
 
     return F.arrow_udf(run, "long")(reference, hypothesis)
 

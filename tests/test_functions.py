@@ -150,3 +150,69 @@ def test_best_flow_equals_assignment_of_every_copy():
         rows, columns = ([k for k, q in enumerate(x) for _ in range(q)] for x in (supply, demand))
         table = [[gains.get((a, b), 0.0) for b in columns] for a in rows]
         assert found == pytest.approx(sum(table[a][b] for a, b in kernels.assign(table, maximize=True)))
+
+
+def test_distance_takes_the_shorter_side_step_by_step():
+    class Counted(list):
+        steps = 0
+
+        def __iter__(self):
+            for x in super().__iter__():
+                Counted.steps += 1
+                yield x
+
+        def __getitem__(self, k):
+            found = super().__getitem__(k)
+            return Counted(found) if isinstance(k, slice) else found
+
+    long, short = Counted([1, *range(5000), 2]), Counted([1, 3, 9, 7, 2])
+    for pair in ((long, short), (short, long)):
+        assert kernels.distance(*pair) == brute_distance(list(long), list(short))
+    same = Counted(range(5000))
+    Counted.steps = 0
+    assert kernels.distance(same, Counted(range(5000))) == 0 and Counted.steps == 0
+
+
+def test_english_rules_are_searched_for_only_where_they_can_hold(monkeypatch):
+    tried = []
+
+    class Pattern:
+        def __init__(self, part, pattern):
+            self.part, self.pattern = part, pattern
+
+        def sub(self, put, text):
+            tried.append(self.part)
+            return self.pattern.sub(put, text)
+
+    monkeypatch.setattr(kernels, "_CONTRACTIONS", [(part, Pattern(part, p), put) for part, p, put in kernels._CONTRACTIONS])
+    assert kernels.whisper_english("Plain words, only 1,234 of them") == "plain words only 1234 of them" and not tried
+    assert kernels.whisper_english("We won't go, Mr. Grey") == "we will not go mister gray" and set(tried) == {"won't", "mr", "st"}
+
+
+def test_few_rows_of_a_batch_are_python_objects(monkeypatch):
+    import pyarrow as pa
+
+    taken = []
+    array = pa.array([["a"] * k for k in range(1000)])
+    sizes = lambda r: taken.append(1) or len(r)
+    monkeypatch.setattr(normalize, "SLICE", 64)
+    made = []
+    whole = pa.concat_arrays
+    monkeypatch.setattr(normalize.pa, "concat_arrays", lambda parts: made.append([len(p) for p in parts]) or whole(parts))
+    assert normalize.mapped(sizes, pa.int64(), array).to_pylist() == list(range(1000)) and len(taken) == 1000
+    assert max(made[0]) == 64
+    rows = pa.array([["a", None], None, [], ["b"], ["c", "d"]])
+    for k in range(5):
+        assert normalize.objects(rows.slice(k, 3)) == rows.slice(k, 3).to_pylist()
+
+
+def test_edit_tables_take_bits():
+    import tracemalloc
+
+    rng = random.Random(6)
+    a, b = ([rng.randrange(900) for _ in range(2000)] for _ in range(2))
+    tracemalloc.start()
+    s, d, i, h = kernels.edit_counts(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert s + d + i == kernels.distance(a, b) and most < 4_000_000  # 16 MB as numbers
