@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparvox.functions import normalize, text
 from sparvox.functions.languages import PUBLIC_METRIC, SOURCE_METRIC, canonical_language, public_metric, source_metric
 from sparvox.operators import intervals, scoring
-from sparvox.runtime import workers_see_package
+from sparvox.runtime import cut, workers_see_package
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -56,10 +56,10 @@ def followers(df: DataFrame, key: str) -> DataFrame:
 @query()
 def wer_micro_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Micro-averaged word error rate by language, over whole texts."""
-    pairs = successive(table(spark, sf_dir, "documents"))
-    words = lambda c: text.tokens(text.punctuation_to_spaces(F.lower(c)), "wer")
-    tokenized = pairs.select("language", words("reference").alias("r"), words("hypothesis").alias("h"))
-    spread = tokenized.repartition(F.xxhash64("r", "h"))  # pairs of long texts cost by the square of their length
+    words = lambda c: text.punctuation_to_spaces(F.lower(c))
+    pairs = successive(cut(table(spark, sf_dir, "documents").select("doc_id", "lang", words(F.col("text")).alias("text"))))  # each text is on two sides
+    tokenized = pairs.repartition(F.xxhash64("reference", "hypothesis"))  # pairs of long texts cost by the square of their length
+    spread = tokenized.select("language", *(text.tokens(F.col(c), "wer").alias(c[0]) for c in ("reference", "hypothesis")))
     sums = scoring.distances(spread, F.col("r"), F.col("h")).groupBy("language").agg(F.count("*").alias("items"), F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator"))
     return sums.withColumn("value", text.rate(F.col("numerator"), F.col("denominator"))).orderBy("language")
 
